@@ -10,6 +10,7 @@ a whole tile wherever it lies. What shares a key is verified by the edit distanc
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,22 @@ class Index:
         return best
 
 
+def item_blocks(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The normalised items in blocks of about half of ``block_chars``, one at a time on the driver."""
+    asked = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
+    chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(2 * chars / block_chars))
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        items = sorted((r["item"], t) for r in rows if r["item"] is not None and len(t := normalised(r["text"])) >= least_chars)
+        if items:
+            yield items
+
+
+def repeats_for(target_recall: float, hit_rate: float) -> int:
+    return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - hit_rate)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL, hit_rate: float = HIT_RATE, samples: int = SAMPLES, window: int = WINDOW, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs (id, item id, distance, item_chars, match_start, match_end) where an item lies in a document with few edits.
 
@@ -165,19 +182,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     item is a block), one pass over the documents each, so nothing that is broadcast grows with the benchmark.
     """
     spark = docs.sparkSession
-    repeats = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - hit_rate)))
+    repeats = repeats_for(target_recall, hit_rate)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out_names = [id_col, item_col, "distance", "item_chars", "match_start", "match_end"]
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int, item_chars int, match_start long, match_end long"
-    asked = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
-    chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * chars / block_chars))
     found = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        items = sorted((r["item"], t) for r in rows if r["item"] is not None and len(t := normalised(r["text"])) >= least_chars)
-        if not items:
-            continue
+    for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col, least_chars=least_chars, block_chars=block_chars):
         shared = spark.sparkContext.broadcast(items)
         cache: dict[int, Index] = {}
 
@@ -200,3 +210,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         return spark.createDataFrame([], schema)
     best = found.groupBy(id_col, item_col).agg(F.min(F.struct("distance", "item_chars", "match_start", "match_end")).alias("best"))
     return best.select(id_col, item_col, "best.*")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL, hit_rate: float = HIT_RATE, samples: int = SAMPLES, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item lies; see ``find_leaks``. Rows are filtered where they are read."""
+    spark, repeats, at = docs.sparkSession, repeats_for(target_recall, hit_rate), docs.columns.index(text_col)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col):
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
+            index = Index(shared.value, repeats, max_edits, samples, window)
+            for batch in batches:
+                for start in range(0, len(batch), 512):
+                    part = batch.slice(start, 512)
+                    dirty = {d for d, _ in index.matches([normalised(x or "") for x in part.column(at).to_pylist()])}
+                    yield part.filter(pa.array([i not in dirty for i in range(len(part))]))
+
+        docs = docs.mapInArrow(run, types)
+    return docs

@@ -18,7 +18,7 @@ from foliant.operators.graph import star_components
 from foliant.shared import materialise
 
 SEED = 42
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -38,7 +38,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """Further 64 bits of the same shingle."""
     if not k:
         return h
-    x = h + np.uint64(k) * _ODD
+    x = h + np.uint64(k * _ODD % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -152,3 +152,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Documents whose five-word shingles have a similarity of 0.8 differ in about 15 per cent of the bits of their fingerprints;
+#: of 256 bits 48 allow for the spread. Twelve segments of 21 or 22 bits are looked up with radius 1.
+SIMILAR = {"shingle_words": 5, "lanes": 4, "width": 21, "radius": [1] * 12, "max_bits": 48}
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their near-duplicate group: least id, then hash of the text.
+
+    ``search``: the parameters of ``near_duplicates``, by default ``SIMILAR``. Of rows repeated with id and text, one stays.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"))
+    groups = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", **(search or SIMILAR))
+    first = materialise(groups.where("key = component_id").groupBy("key").agg(F.count("*").alias("n")), "firsts")
+    keyed = docs.withColumn("__key", key)
+
+    def those(condition: str) -> DataFrame:
+        some = first.where(condition).select(F.col("key.id").alias("__id"), F.col("key.t").alias("__t"))
+        return keyed.join(some, keyed["__key.id"].eqNullSafe(some["__id"]) & (keyed["__key.t"] == some["__t"]), "left_semi")
+
+    return those("n = 1").union(those("n > 1").dropDuplicates(["__key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
