@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,40 @@ def star_components(edges: DataFrame) -> DataFrame:
             break
         mark = seen
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def page_components(vertices: DataFrame, edges: DataFrame, keys: list[str], vertex: str = "id", label: str = "component") -> DataFrame:
+    """(keys, vertex, label) with the least vertex of each component, for graphs that don't cross groups of ``keys``.
+
+    Every vertex is kept, alone if it has no edge. One union-find a group; a group is a page or a line of one, so it is small.
+    """
+    loops = vertices.select(*keys, F.col(vertex).cast("long").alias("src"), F.col(vertex).cast("long").alias("dst"))
+    both = loops.union(edges.select(*keys, F.col("src").cast("long"), F.col("dst").cast("long")))
+    head = ", ".join(f"`{k}` {vertices.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
+        ids, labels = union_find(src, dst)
+        columns = [pa.array([k.as_py()] * len(ids), k.type) for k in key]
+        return pa.Table.from_arrays([*columns, pa.array(ids, pa.int64()), pa.array(labels, pa.int64())], names=[*keys, vertex, label])
+
+    return both.groupBy(*keys).applyInArrow(solve, f"{head}, `{vertex}` long, `{label}` long")
+
+
+def union_find(src: list[int], dst: list[int]) -> tuple[list[int], list[int]]:
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        path = []
+        while (p := up.setdefault(v, v)) != v:
+            path.append(v)
+            v = p
+        for w in path:
+            up[w] = v
+        return v
+
+    for a, b in zip(src, dst):
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    ids = list(up)
+    return ids, [root(v) for v in ids]
