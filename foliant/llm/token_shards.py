@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from foliant.llm.tokens import byte_bpe_ids
 from foliant.shared import materialise, remove
 
 LENGTH, SHARD_SEQUENCES, ROUNDS, END_ID = 2048, 16_384, 6, 50_256
+#: Sequences compressed as one block before numbering, and sorted by shard at a time after it.
+TOGETHER, SORTED, LEVEL = 32, 256, 6
 
 
 def _round_key(key: int, r: int) -> np.uint64:
@@ -49,40 +53,58 @@ def feistel(index: np.ndarray, n: int, key: int, *, inverse: bool = False) -> np
 def token_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """(local, ids, n_tokens, first_doc, docs): each partition's documents in order, each followed by ``end_id``, cut every ``length`` ids.
 
-    The last sequence of a partition is shorter and is filled up with ``end_id`` when written. ids are little-endian, of two bytes if
-    the vocabulary allows it, deflated. first_doc is the id of the document that the sequence begins in; docs how many it touches.
+    A row holds up to ``TOGETHER`` sequences from number ``local`` on, filled up with ``end_id`` and compressed as one block, and for each
+    of them its tokens, the id of the document that it begins in and how many documents it touches. ids are little-endian, of two bytes.
     """
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["local", "ids", "n_tokens", "first_doc", "docs"]
 
     def run(batches):
-        held, owners, local = np.zeros(0, "<u2"), [], 0
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        held, owners, local = np.zeros(0, "<u2"), deque(), 0
+        done: list[tuple] = []
+
+        def take(ids: np.ndarray) -> None:
+            first, n, need = owners[0][0], 0, len(ids)
+            while need:
+                d, left = owners[0]
+                n += 1
+                if left <= need:
+                    owners.popleft()
+                    need -= left
+                else:
+                    owners[0] = (d, left - need)
+                    need = 0
+            done.append((ids, len(ids), first, n))
+
+        def flush() -> pa.RecordBatch:
+            nonlocal local
+            raw = b"".join(padded(ids, length, end_id).tobytes() for ids, *_ in done)
+            row = (local, pack.compress(raw), [x[1] for x in done], [x[2] for x in done], [x[3] for x in done])
+            local += len(done)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types)], names)
+
         for part, texts in text_slices(batches, 1_000_000):
             arrays = [np.array([*byte_bpe_ids(t, path), end_id], "<u2") for t in texts]
-            owners += [(d, len(a)) for d, a in zip(part.column("id").to_pylist(), arrays)]
+            owners.extend((d, len(a)) for d, a in zip(part.column("id").to_pylist(), arrays))
             stream = np.concatenate([held, *arrays])
-            rows = []
             for i in range(0, len(stream) - length + 1, length):
-                first, n = owners[0][0], 0
-                need = length
-                while need:
-                    d, left = owners[0]
-                    n += 1
-                    if left <= need:
-                        owners.pop(0)
-                        need -= left
-                    else:
-                        owners[0] = (d, left - need)
-                        need = 0
-                rows.append((local, zlib.compress(stream[i : i + length], 1), length, first, n))
-                local += 1
+                take(stream[i : i + length])
+                if len(done) == TOGETHER:
+                    yield flush()
             held = stream[len(stream) - len(stream) % length :]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((local, zlib.compress(held, 1), len(held), owners[0][0], len(owners)), types)], names)
+            take(held)
+        if done:
+            yield flush()
 
-    types, names = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32()], ["local", "ids", "n_tokens", "first_doc", "docs"]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
-    return source.mapInArrow(run, "local long, ids binary, n_tokens int, first_doc long, docs int")
+    return source.mapInArrow(run, "local long, ids binary, n_tokens array<int>, first_doc array<long>, docs array<int>")
+
+
+def padded(ids: np.ndarray, length: int, end_id: int) -> np.ndarray:
+    return np.concatenate([ids, np.full(length - len(ids), end_id, "<u2")])
 
 
 def write_shards(docs: DataFrame, root: str, *, key: int = 1, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, end_id: int = END_ID, path: str | None = None) -> DataFrame:
@@ -91,61 +113,86 @@ def write_shards(docs: DataFrame, root: str, *, key: int = 1, id_col: str = "doc
 
     Slot s is at byte ``(s % shard_sequences) * 2 * length`` of ``shard-<s // shard_sequences>.bin``, so any slot is found without an index,
     and reading on from a slot is sequential. The slots are a permutation of all sequences under ``key``. The sequences are
-    written once before they are numbered, so numbers don't change when a task is repeated; a shard is written under a
-    name of the attempt and renamed when whole. A null or empty text is the one id ``end_id``; ids may repeat or be null; an empty
-    table writes nothing; further columns aren't read.
+    written once before they are numbered, so numbers don't change when a task is repeated; a shard, one task's partition, is put
+    together in memory, written under a name of the attempt and renamed when whole. A null or empty text is the one id ``end_id``;
+    ids may repeat or be null; an empty table writes nothing; further columns aren't read.
     """
-    spark = docs.sparkSession
+    spark, stride = docs.sparkSession, 2 * length
     cut = materialise(token_sequences(docs, id_col=id_col, text_col=text_col, length=length, end_id=end_id, path=path).withColumn("part", F.spark_partition_id()), "sequences")
-    sizes = sorted((r["part"], r["n"]) for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect())
+    sizes = sorted((r["part"], r["n"]) for r in cut.groupBy("part").agg(F.sum(F.size("n_tokens")).alias("n")).collect())
     total = sum(n for _, n in sizes)
     begins = dict(zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist()))
+    block = "shard long, slots array<long>, ids binary, n_tokens array<int>, first_doc array<long>, docs array<int>"
 
     def number(batches):
+        """Blocks of up to ``SORTED`` sequences, parted by shard and compressed anew, so that what is shuffled stays small."""
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        slots, rows = [], []
+
+        def flush() -> pa.RecordBatch:
+            slot = np.concatenate(slots)
+            order = np.argsort(slot)
+            cuts = np.flatnonzero(np.diff(slot[order] // shard_sequences)) + 1
+            out = []
+            for own in np.split(order, cuts):
+                mine = [rows[i] for i in own]
+                out.append((int(slot[own[0]] // shard_sequences), slot[own].tolist(), pack.compress(b"".join(m[0] for m in mine)), *([m[k] for m in mine] for k in (1, 2, 3))))
+            slots.clear()
+            rows.clear()
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["shard", "slots", "ids", "n_tokens", "first_doc", "docs"])
+
         for batch in batches:
-            part = batch.column("part").to_numpy()
-            index = np.array([begins[p] for p in part.tolist()], np.int64) + batch.column("local").to_numpy()
-            slot = feistel(index, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_sequences), *(batch.column(c) for c in ("ids", "n_tokens", "first_doc", "docs"))], ["slot", "shard", "ids", "n_tokens", "first_doc", "docs"])
+            for r in batch.to_pylist():
+                raw, n = unpack.decompress(r["ids"]), len(r["n_tokens"])
+                slots.append(feistel(begins[r["part"]] + r["local"] + np.arange(n), total, key))
+                rows += [(raw[i * stride : (i + 1) * stride], r["n_tokens"][i], r["first_doc"][i], r["docs"][i]) for i in range(n)]
+                if len(rows) >= SORTED:
+                    yield flush()
+        if rows:
+            yield flush()
 
     def write(batches):
-        out = at = shard = None
-
-        def close():
-            out.close()
-            target = f"{base}/shard-{shard:08d}.bin"
-            if files.get_file_info(target).type != pyarrow.fs.FileType.NotFound:  # a repeated task: the same bytes
-                files.delete_file(target)
-            files.move(f"{base}/.shard-{shard:08d}.{attempt}", target)
-
         from pyspark import TaskContext
 
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, unpack = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor()
         files, base = pyarrow.fs.FileSystem.from_uri(root)
         files.create_dir(base, recursive=True)
+        held: dict = {}
+
+        def close() -> pa.RecordBatch:
+            shard, data, meta = held["shard"], held["data"], held["meta"]
+            if any(m is None for m in meta):
+                raise ValueError(f"shard {shard} isn't whole")
+            made, target = f"{base}/.shard-{shard:08d}.{attempt}", f"{base}/shard-{shard:08d}.bin"
+            with files.open_output_stream(made) as out:
+                out.write(data)
+            if files.get_file_info(target).type != pyarrow.fs.FileType.NotFound:  # a repeated task: the same bytes
+                files.delete_file(target)
+            files.move(made, target)
+            n = len(meta)
+            crc = [zlib.crc32(memoryview(data)[i * stride : (i + 1) * stride]) for i in range(n)]
+            columns = [pa.array(shard * shard_sequences + np.arange(n)), pa.array([shard] * n, pa.int64()), pa.array(np.arange(n) * stride), *(pa.array([m[k] for m in meta], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32()))), pa.array(crc, pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "n_tokens", "first_doc", "docs", "ids_crc32"])
+
         for batch in batches:
-            made = []
-            for row in batch.select(["slot", "shard", "ids", "n_tokens"]).to_pylist():
-                if row["shard"] != shard:
-                    if out:
-                        close()
-                    shard, at = row["shard"], row["shard"] * shard_sequences
-                    out = files.open_output_stream(f"{base}/.shard-{shard:08d}.{attempt}")
-                if row["slot"] != at:
-                    raise ValueError(f"slot {row['slot']} where {at} was due")
-                raw = zlib.decompress(row["ids"])
-                raw += np.full(length - len(raw) // 2, end_id, "<u2").tobytes()
-                out.write(raw)
-                at += 1
-                made.append(zlib.crc32(raw))
-            slot = batch.column("slot").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(slot % shard_sequences * 2 * length), *(batch.column(c) for c in ("n_tokens", "first_doc", "docs")), pa.array(made, pa.int64())], ["slot", "shard", "byte_offset", "n_tokens", "first_doc", "docs", "ids_crc32"])
-        if out:
-            close()
+            for r in batch.to_pylist():
+                if held and held["shard"] != r["shard"]:
+                    yield close()
+                if not held:
+                    n = min(shard_sequences, total - r["shard"] * shard_sequences)
+                    held.update(shard=r["shard"], data=bytearray(n * stride), meta=[None] * n)
+                raw = unpack.decompress(r["ids"])
+                for i, slot in enumerate(r["slots"]):
+                    at = slot % shard_sequences
+                    held["data"][at * stride : (at + 1) * stride] = raw[i * stride : (i + 1) * stride]
+                    held["meta"][at] = (r["n_tokens"][i], r["first_doc"][i], r["docs"][i])
+        if held:
+            yield close()
 
     shards = max(1, -(-total // shard_sequences))
-    numbered = cut.mapInArrow(number, "slot long, shard long, ids binary, n_tokens int, first_doc long, docs int")
-    placed = numbered.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    placed = cut.mapInArrow(number, block).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     done = materialise(placed.mapInArrow(write, "slot long, shard long, byte_offset long, n_tokens int, first_doc long, docs int, ids_crc32 long"), "slots")
     remove(cut)
     return done
