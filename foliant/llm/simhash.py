@@ -91,13 +91,14 @@ def _key(number: int, value: Column) -> Column:
     return F.lit(number).cast("long") * F.lit(1 << 40) + value
 
 
-def tables(prints: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
+def tables(prints: DataFrame, cuts: list[tuple[int, int, int]], *also: str) -> DataFrame:
+    """(key, node): each fingerprint under the value of each of its segments."""
     rows = [_key(i, F.shiftrightunsigned(F.col("fp")[lane], shift).bitwiseAND(F.lit((1 << width) - 1))) for i, (lane, shift, width) in enumerate(cuts)]
-    return prints.select("node", "fp", F.explode(F.array(*rows)).alias("key"))
+    return prints.select(F.explode(F.array(*rows)).alias("key"), "node", *also)
 
 
-def lookups(prints: DataFrame, cuts: list[tuple[int, int, int]], radius: list[int]) -> DataFrame:
-    """The keys each fingerprint looks up: its own segment and, at radius 1, those with one of its set bits cleared.
+def lookups(prints: DataFrame, cuts: list[tuple[int, int, int]], radius: list[int], *also: str) -> DataFrame:
+    """(key, node): the keys each fingerprint looks up, its own segment and, at radius 1, those with one of its set bits cleared.
 
     Of two segments that differ in one bit, one has that bit set and finds the other.
     """
@@ -108,28 +109,34 @@ def lookups(prints: DataFrame, cuts: list[tuple[int, int, int]], radius: list[in
         if r:
             ball += [F.when(own.bitwiseAND(F.lit(1 << b)) != 0, _key(i, own - F.lit(1 << b))) for b in range(width)]
         rows += ball
-    return prints.select("node", "fp", F.explode(F.array_compact(F.array(*rows))).alias("key"))
+    return prints.select(F.explode(F.array_compact(F.array(*rows))).alias("key"), "node", *also)
+
+
+def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+    """The pairs (u, v) whose complete fingerprints differ in at most ``max_bits`` bits."""
+    left = prints.select(F.col("node").alias("u"), F.col("fp").alias("a"))
+    right = prints.select(F.col("node").alias("v"), F.col("fp").alias("b"))
+    return pairs.distinct().join(left, "u").join(right, "v").where(distance("a", "b", lanes) <= max_bits).select("u", "v")
 
 
 def linked(prints: DataFrame, *, lanes: int, cuts: list[tuple[int, int, int]], radius: list[int], max_bits: int) -> DataFrame:
     """(vertex, component) of distinct fingerprints (node long, fp) that have a link, in two rounds.
 
-    First every lookup is compared with one fingerprint of its bucket only, the least, which costs one row per lookup and
-    joins dense families. Then all others of the bucket are compared, but only across the components found: links inside
-    a component change nothing. So a bucket that a third of all rows share costs a row each if they are alike.
+    First every fingerprint is compared with the least one of each of its buckets, which costs a row a segment and joins dense
+    families. Then all lookups are made, but only across the components found: links inside a component change nothing. So
+    a bucket that a third of all rows share costs a row each if they are alike. Rows carry numbers only; fingerprints are
+    joined to the candidates.
     """
-    table, probe = tables(prints, cuts), lookups(prints, cuts, radius)
-    least = table.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("l")).select("key", F.col("l.node").alias("other"), F.col("l.fp").alias("ofp"))
-    near = distance("fp", "ofp", lanes) <= max_bits
-    edges = probe.join(least, "key").where((F.col("node") != F.col("other")) & near).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    edges = materialise(edges.distinct(), "links")
+    table = tables(prints, cuts)
+    least = table.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    pairs = table.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v")
+    edges = materialise(verified(pairs, prints, lanes, max_bits), "links")
     first = star_components(edges).select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
     known = materialise(prints.join(first, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "prints")
-    side = tables(known, cuts).join(known.select("node", "comp"), "node").select("key", F.col("node").alias("other"), F.col("fp").alias("ofp"), F.col("comp").alias("ocomp"))
-    look = lookups(known, cuts, radius).join(known.select("node", "comp"), "node")
-    across = look.join(side.select("key", "ocomp").distinct(), "key").where("comp <> ocomp")
-    more = across.join(side, ["key", "ocomp"]).where(near).select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
-    return star_components(edges.union(more))
+    side = tables(known, cuts, "comp").select("key", F.col("node").alias("v"), F.col("comp").alias("other"))
+    across = lookups(known, cuts, radius, "comp").join(side.select("key", "other").distinct(), "key").where("comp <> other")
+    more = across.join(side, ["key", "other"]).select(F.col("node").alias("u"), "v")
+    return star_components(edges.union(verified(more, known, lanes, max_bits)))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, lanes: int = 1, width: int = 32, radius: list[int] | None = None, max_bits: int = 2) -> DataFrame:
