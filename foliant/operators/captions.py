@@ -9,6 +9,7 @@ from foliant.functions.geometry import UNKNOWN, Rect, position, rect_dist
 from foliant.operators.clusters import cut_dist, mst, points, sweep
 from foliant.operators.histograms import tall
 from foliant.operators.rects import SIDES, bounding, join_rects
+from foliant.shared import materialise
 
 LEAST_RECTS = 10
 
@@ -65,12 +66,12 @@ def belonging(rects: DataFrame, members: DataFrame, pictures: DataFrame, cut: Da
 
 def detect_captions(rects: DataFrame, id_col: str = "glyph_id") -> DataFrame:
     """(page_id, id, picture): the rectangles that belong to a picture as its captions."""
-    rects = enough(rects)
+    rects = materialise(enough(rects).select("page_id", id_col, *SIDES), "rects")
     pictures = tall(rects)
-    cut = sweep(mst(points(rects, id_col)), rects)
+    cut = materialise(sweep(mst(points(rects, id_col)), rects), "cuts")
     found = cut.where("found")
     clusters = cut_dist(rects, found.select("page_id", F.col("cut").alias("limit")), id_col)
-    members = small_components(clusters, pictures, id_col)
+    members = materialise(small_components(clusters, pictures, id_col), "members")
     owners = belonging(rects, members, pictures, cut, id_col)
     return members.join(owners, ["page_id", "component"]).select("page_id", id_col, "picture")
 
@@ -80,10 +81,11 @@ def attach_captions(rects: DataFrame, captions: DataFrame, id_col: str = "glyph_
 
     is_picture: higher than seven and wider than three mean heights of the result.
     """
+    captions = materialise(captions, "captions")
     owners = captions.select("page_id", "picture").distinct()
     parts = captions.select("page_id", F.col(id_col), "picture").union(owners.select("page_id", F.col("picture").alias(id_col), "picture"))
     grown = bounding(rects.join(parts, ["page_id", id_col]), ["page_id", "picture"]).withColumnRenamed("picture", id_col)
     rest = rects.join(parts, ["page_id", id_col], "left_anti").select("page_id", id_col, *SIDES)
-    joined = join_rects(grown.select("page_id", id_col, *SIDES).union(rest), ["page_id"], id_col)
+    joined = materialise(join_rects(materialise(grown.select("page_id", id_col, *SIDES).union(rest), "grown"), ["page_id"], id_col), "joined")
     big = tall(joined, 7, 3).select("page_id", "component", F.lit(True).alias("_big"))
     return joined.join(big, ["page_id", "component"], "left").withColumn("is_picture", F.coalesce("_big", F.lit(False))).drop("_big")

@@ -27,7 +27,7 @@ def points(rects: DataFrame, id_col: str = "glyph_id") -> DataFrame:
 
 
 def _by_page(pts: DataFrame, work, schema: str) -> DataFrame:
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         ids = table.column("id").to_numpy()[order]
         xy = np.stack([table.column(c).to_numpy()[order] for c in ("px", "py")], 1)

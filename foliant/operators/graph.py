@@ -60,7 +60,7 @@ def page_components(vertices: DataFrame, edges: DataFrame, keys: list[str], vert
     both = loops.union(edges.select(*keys, F.col("src").cast("long"), F.col("dst").cast("long")))
     head = ", ".join(f"`{k}` {vertices.schema[k].dataType.simpleString()}" for k in keys)
 
-    def solve(key: tuple, table: pa.Table) -> pa.Table:
+    def solve(key, table):
         src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
         ids, labels = union_find(src, dst)
         columns = [pa.array([k.as_py()] * len(ids), k.type) for k in key]

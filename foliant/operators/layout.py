@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.geometry import scale
 from foliant.operators.lines import paragraphs
+from foliant.shared import materialise
 
 PIECE = "page_id long, paragraph int, line int, seq int, x int, y int, width int, height int, shift int, gap int, real boolean"
 _PIECE = pa.schema([("page_id", pa.int64()), *((c, pa.int32()) for c in ("paragraph", "line", "seq", "x", "y", "width", "height", "shift", "gap")), ("real", pa.bool_())])
@@ -94,7 +95,7 @@ def break_words(words: list[dict], width: int) -> list[list[tuple]]:
 def break_paragraphs(words: DataFrame, width: DataFrame) -> DataFrame:
     """The entries of each paragraph as lines at the page's ``width`` (page_id, new_width): a fold, one paragraph at a time."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
         out = []
         for n, line in enumerate(break_words(rows, rows[0]["new_width"])):
@@ -104,8 +105,6 @@ def break_paragraphs(words: DataFrame, width: DataFrame) -> DataFrame:
     return words.join(width, "page_id").groupBy("page_id", "paragraph").applyInArrow(run, PIECE)
 
 
-
-
 def line_heights(pieces: DataFrame) -> DataFrame:
     """(page_id, paragraph, line, row, height, line_height, top): lines with something on them, numbered down the page.
 
@@ -134,7 +133,7 @@ def place_pictures(lines: DataFrame, pictures: DataFrame) -> DataFrame:
     ends below the picture's top. Pictures below all lines are left out. A fold over a page's lines and pictures.
     """
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = table.to_pylist()
         todo = sorted((r for r in rows if r["kind"] == 1), key=lambda r: (r["at"], r["id"]))
         out = []
@@ -164,8 +163,8 @@ def placements(glyphs: DataFrame, pictures: DataFrame, widths: DataFrame, *, fac
     page. words: (page_id, row, seq, x, y, width, height, left, top); pictures: (page_id, picture, left, top, s_width, s_height).
     """
     width = widths.select("page_id", (F.col("page_width") * F.lit(float(factor))).cast("int").alias("new_width"))
-    pieces = break_paragraphs(entries(glyphs, zoom), width)
-    lines = line_heights(pieces)
+    pieces = materialise(break_paragraphs(entries(glyphs, zoom), width), "pieces")
+    lines = materialise(line_heights(pieces), "lines")
     mean = glyphs.groupBy("page_id").agg(F.avg("height").alias("mean"))
     pics = scaled_pictures(pictures, width, zoom)
     pages = page_geometry(lines, pics, width, mean, zoom)
@@ -193,7 +192,7 @@ def simple_flow(glyphs: DataFrame, page_width: int, *, indent: int = 30) -> Data
     margin = int(0.075 * page_width)
     room = page_width - 2 * margin
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         out, line, used = [], 0, 0
         for g in sorted(table.to_pylist(), key=lambda r: r["seq"]):
             if used and (g["indented"] or used + g["width"] > room):
@@ -262,7 +261,7 @@ def cut_trees(runs: DataFrame, most_leaves: int = 20) -> DataFrame:
     """The cut tree of every page of runs; see ``xycut``."""
     types = pa.schema([("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("side", pa.string()), *((c, pa.int32()) for c in "xywh"), ("leaf", pa.bool_())])
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         y, a, b = (table.column(c).to_numpy() for c in ("y", "x0", "x1"))
         image = np.zeros((int(y.max()) + 1, int(b.max()) + 1), bool)
         for r, s, e in zip(y, a, b):

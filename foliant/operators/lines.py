@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.graph import page_components
 from foliant.operators.histograms import baseline
 from foliant.operators.intervals import join_intervals, stab, touching_groups
-from foliant.operators.graph import page_components
 from foliant.operators.rects import SIDES, bounding, knn, neighbors
+from foliant.shared import materialise
 
 LINE = ["page_id", "line_id"]
 
@@ -65,19 +66,22 @@ def line_ranges(glyphs: DataFrame, k: int = 100) -> DataFrame:
     edges = near.select("page_id", F.col("id").alias("src"), F.coalesce("nb_id", "id").alias("dst"))
     chains = page_components(glyphs, edges, ["page_id"], "glyph_id", "chain")
     limits = glyphs.join(chains, ["page_id", "glyph_id"]).groupBy("page_id", F.col("chain").alias("id")).agg(F.min("y").alias("low"), F.max(F.col("y") + F.col("height")).alias("high"))
-    return join_intervals(limits, ["page_id"]).select("page_id", "low", "high")
+    return join_intervals(materialise(limits, "limits"), ["page_id"]).select("page_id", "low", "high")
 
 
 def find_lines(glyphs: DataFrame, k: int = 100) -> DataFrame:
     """Glyphs with line_id, from 0 down the page: the range that holds a glyph's upper edge."""
     held = stab(glyphs.select("page_id", "glyph_id", *SIDES), line_ranges(glyphs, k), ["page_id"], "y")
-    lines = held.select("page_id", "low", "high").distinct().withColumn("line_id", F.row_number().over(Window.partitionBy("page_id").orderBy("low", "high")) - 1)
-    return held.join(lines, ["page_id", "low", "high"]).drop("low", "high")
+    return held.withColumn("line_id", F.dense_rank().over(Window.partitionBy("page_id").orderBy("low", "high")) - 1).drop("low", "high")
 
 
 def ordered_glyphs(glyphs: DataFrame, k: int = 100) -> DataFrame:
-    """(page_id, line_id, word_id, pos, x, y, width, height, shift, lower): a page's glyphs in reading order with their baselines."""
-    boxes = group_glyphs(find_lines(glyphs, k))
+    """(page_id, line_id, word_id, pos, x, y, width, height, shift, lower): a page's glyphs in reading order with their baselines.
+
+    Each step reads its input several times, so the glyphs, the lines and the boxes are written once in between.
+    """
+    found = materialise(find_lines(materialise(glyphs.select("page_id", "glyph_id", *SIDES), "glyphs"), k), "lines")
+    boxes = materialise(group_glyphs(found), "boxes")
     lower = baseline(boxes, LINE)
     words = split_words(boxes).join(lower, LINE)
     return words.select(*LINE, "word_id", "pos", *SIDES, (F.col("lower").cast("int") - (F.col("y") + F.col("height"))).alias("shift"), "lower")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.graph import page_components
+from foliant.operators.graph import page_components, union_find
 
 ORDER = ("y", "x0", "x1")
 
@@ -133,36 +131,44 @@ def side_margin(rects: DataFrame, width: Column | str, share: float = 0.03) -> C
 
 
 def outer_boundaries(runs: DataFrame) -> DataFrame:
-    """(page_id, comp, area, filled): for each component its pixels and those with its holes filled, by flooding from outside."""
-
-    def work(key, table: pa.Table) -> pa.Table:
-        y, a, b = (table.column(c).to_numpy() for c in ORDER)
-        image = np.zeros((int(y.max() - y.min()) + 3, int(b.max() - a.min()) + 3), bool)
-        for r, s, e in zip(y - y.min() + 1, a - a.min() + 1, b - a.min() + 1):
-            image[r, s : e + 1] = True
-        label, out = np.zeros(image.shape, int), []
-        for r, c in zip(*np.nonzero(image)):
-            if label[r, c]:
-                continue
-            n, todo = len(out) + 1, deque([(r, c)])
-            label[r, c] = n
-            while todo:
-                p, q = todo.popleft()
-                for i in range(max(p - 1, 0), p + 2):
-                    for j in range(max(q - 1, 0), q + 2):
-                        if image[i, j] and not label[i, j]:
-                            label[i, j] = n
-                            todo.append((i, j))
-            own = label == n
-            outside, todo = np.zeros(image.shape, bool), deque([(0, 0)])
+    """(page_id, comp, area, filled): for each component its pixels and those inside its outer boundary, holes included.
+
+    Components are found on runs; holes by flooding each one's own box from outside.
+    """
+
+    def work(key, table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ORDER)))
+        by_row: dict[int, list[int]] = {}
+        for i, (y, _, _) in enumerate(rows):
+            by_row.setdefault(y, []).append(i)
+        src, dst = list(range(len(rows))), list(range(len(rows)))
+        for y, own in by_row.items():
+            for i in own:
+                for j in by_row.get(y + 1, ()):
+                    if rows[j][1] <= rows[i][2] + 1 and rows[j][2] >= rows[i][1] - 1:
+                        src.append(i)
+                        dst.append(j)
+        members: dict[int, list[int]] = {}
+        for i, root in zip(*union_find(src, dst)):
+            members.setdefault(root, []).append(i)
+        out = []
+        for n, root in enumerate(sorted(members), 1):
+            own = [rows[i] for i in members[root]]
+            top, left = min(r[0] for r in own) - 1, min(r[1] for r in own) - 1
+            image = np.zeros((max(r[0] for r in own) - top + 2, max(r[2] for r in own) - left + 2), bool)
+            for y, a, b in own:
+                image[y - top, a - left : b - left + 1] = True
+            outside, grown = np.zeros(image.shape, bool), np.ones(1, bool)
             outside[0, 0] = True
-            while todo:
-                p, q = todo.popleft()
-                for i, j in ((p - 1, q), (p + 1, q), (p, q - 1), (p, q + 1)):
-                    if 0 <= i < image.shape[0] and 0 <= j < image.shape[1] and not own[i, j] and not outside[i, j]:
-                        outside[i, j] = True
-                        todo.append((i, j))
-            out.append((n, int(own.sum()), int((~outside).sum())))
+            while grown.any():
+                near = outside.copy()
+                near[1:] |= outside[:-1]
+                near[:-1] |= outside[1:]
+                near[:, 1:] |= outside[:, :-1]
+                near[:, :-1] |= outside[:, 1:]
+                grown = near & ~image & ~outside
+                outside |= grown
+            out.append((n, int(image.sum()), int((~outside).sum())))
         return pa.table({"page_id": [key[0].as_py()] * len(out), "comp": [o[0] for o in out], "area": [o[1] for o in out], "filled": [o[2] for o in out]}, schema=pa.schema([("page_id", pa.int64()), ("comp", pa.int64()), ("area", pa.int64()), ("filled", pa.int64())]))
 
     return runs.groupBy("page_id").applyInArrow(work, "page_id long, comp long, area long, filled long")

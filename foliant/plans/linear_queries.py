@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import geometry as geo
 from foliant.operators import captions, histograms, intervals, lines, rects
-from foliant.plans.catalog import glyph_sql, query, table
+from foliant.plans.registry import glyph_sql, query, table
 from foliant.sources import glyphs as src
 
 B, D = glyph_sql("benchmark", "item_id"), glyph_sql("documents", "doc_id")

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from foliant.operators import captions, clusters, histograms, intervals, layout, lines, raster, rects
 from foliant.operators.graph import page_components
 from foliant.operators.rects import SIDES
+from foliant.shared import materialise
 
 
 def joined_rects(components: DataFrame) -> DataFrame:
     """(page_id, glyph_id, x, y, width, height): components without rules and specks, joined where they meet, without contained ones."""
-    kept = histograms.drop_specks(components).withColumnRenamed("comp_id", "glyph_id")
-    joined = rects.join_rects(kept, ["page_id"]).withColumnRenamed("component", "glyph_id")
+    kept = materialise(histograms.drop_specks(components).withColumnRenamed("comp_id", "glyph_id"), "components")
+    joined = materialise(rects.join_rects(kept, ["page_id"]).withColumnRenamed("component", "glyph_id"), "joined")
     return rects.enclosing(joined, ["page_id"]).select("page_id", F.col("position").alias("glyph_id"), *SIDES)
 
 
 def rects_with_captions(components: DataFrame) -> DataFrame:
     """``joined_rects`` with pictures grown by their captions: (page_id, component, x, y, width, height, is_picture)."""
-    boxes = joined_rects(components)
+    boxes = materialise(joined_rects(components), "rects")
     return captions.attach_captions(boxes, captions.detect_captions(boxes))
 
 
@@ -34,14 +35,15 @@ def ordered_glyphs(components: DataFrame, k: int = 100) -> DataFrame:
 
 def reflow(components: DataFrame, widths: DataFrame, *, factor: float, zoom: float, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Placements of a page's words and pictures at a new width; see ``layout.placements``."""
-    whole = rects_with_captions(components)
+    whole = materialise(rects_with_captions(components), "whole")
     pictures = whole.where("is_picture").select("page_id", F.col("component").alias("picture"), *SIDES)
-    return layout.placements(lines.ordered_glyphs(text_rects(whole), k), pictures, widths, factor=factor, zoom=zoom)
+    glyphs = materialise(lines.ordered_glyphs(text_rects(whole), k), "ordered")
+    return layout.placements(glyphs, pictures, widths, factor=factor, zoom=zoom)
 
 
 def page_clusters(components: DataFrame) -> DataFrame:
     """(page_id, glyph_id, label): clusters of ``joined_rects`` where the sweep's count has stopped changing."""
-    boxes = joined_rects(components)
+    boxes = materialise(joined_rects(components), "rects")
     cut = clusters.sweep(clusters.mst(clusters.points(boxes)), boxes, lagged=True)
     return clusters.labelled(clusters.cut_dist(boxes, cut.select("page_id", F.col("cut").alias("limit"))), "glyph_id").select("page_id", "glyph_id", "label")
 
@@ -55,16 +57,17 @@ def line_limits(boxes: DataFrame, k: int = 100) -> DataFrame:
     modal = histograms.modal_height(boxes, ["page_id"])
     stats = boxes.groupBy("page_id").agg(F.stddev_pop("height").alias("dev")).join(modal, "page_id")
     tall = boxes.join(stats, "page_id").where("height > modal - dev").withColumn("least_height", F.col("modal"))
+    tall = materialise(tall, "tall")
     counts = tall.groupBy("page_id").agg(F.count("*").alias("_n"))
-    many = tall.join(counts.where("_n >= 30").select("page_id"), "page_id", "left_semi")
+    many = materialise(tall.join(counts.where("_n >= 30").select("page_id"), "page_id", "left_semi"), "centres")
     near = rects.nearest_right(many, rects.knn(many, k))
     chains = page_components(many, near.select("page_id", F.col("id").alias("src"), F.col("nb_id").alias("dst")), ["page_id"], "glyph_id", "line_id")
-    members = many.join(chains, ["page_id", "glyph_id"])
+    members = materialise(many.join(chains, ["page_id", "glyph_id"]), "members")
     keys = ["page_id", "line_id"]
     tops = histograms.exact_mode(members, keys, "y", "upper_baseline")
     bottoms = histograms.exact_mode(members.withColumn("bottom", F.col("y") + F.col("height")), keys, "bottom", "lower_baseline")
     sides = members.groupBy(*keys).agg(F.min("y").alias("upper"), F.max(F.col("y") + F.col("height")).alias("lower"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    found = sides.join(tops, keys).join(bottoms, keys)
+    found = materialise(sides.join(tops, keys).join(bottoms, keys), "limits")
     return intervals.merge_adjacent_lines(intervals.drop_contained_lines(found))
 
 
