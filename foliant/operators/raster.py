@@ -118,7 +118,7 @@ def close(runs: DataFrame) -> DataFrame:
 def fill_ratio(runs: DataFrame, rects: DataFrame, id_col: str) -> DataFrame:
     """(page_id, id, ratio): the foreground's share of each rectangle."""
     rows = rects.select("page_id", id_col, (F.col("width") * F.col("height")).alias("_area"), F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).alias("y"), F.col("x").alias("_m0"), (F.col("x") + F.col("width") - 1).alias("_m1"))
-    part = F.greatest(F.lit(0), F.least("x1", "_m1") - F.greatest("x0", "_m0") + 1)
+    part = F.when(F.col("x0").isNotNull(), F.greatest(F.lit(0), F.least("x1", "_m1") - F.greatest("x0", "_m0") + 1))
     return rows.join(runs, ["page_id", "y"], "left").groupBy("page_id", id_col).agg((F.sum(F.coalesce(part, F.lit(0))) / F.first("_area").cast("double")).alias("ratio"))
 
 
