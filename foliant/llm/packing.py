@@ -49,20 +49,21 @@ def assign_slots(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = G
 
     Only the histogram of lengths (at most ``capacity`` rows) goes to the driver. A row's rank among those of its length is
     the count in the blocks before its own plus its rank in the block; blocks are bounded, so a length that a third of the
-    rows share is spread over many tasks. The placements are runs whose number follows the number of lengths, not of rows.
+    rows share is spread over many tasks. The placements are runs whose number is bounded by the number of lengths (see ``packing_plan``), so they are broadcast.
     """
     spark = pieces.sparkSession
     blocked = pieces.withColumn("block", F.shiftright("uid", BLOCK_BITS))
     counts = materialise(blocked.groupBy("length", "block").agg(F.count("*").alias("n")), "blocks")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan(histogram, capacity, groups=groups)
-    placed = spark.createDataFrame(runs, "at_length long, lo long, hi long, base long, offset long")
+    placed = spark.createDataFrame(runs, "at_length long, lo long, hi long, base long, first long, each long")
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     ranked = blocked.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("uid")) - 1).join(counts, ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("ahead"))
     hit = ranked.join(F.broadcast(placed), (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return hit.select(*pieces.columns, (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    nth = F.col("rank") - F.col("lo")
+    return hit.select(*pieces.columns, (F.col("base") + F.expr("cast((rank - lo) div each as long)")).alias("sequence_id"), (F.col("first") + nth % F.col("each") * F.col("length")).alias("offset"))
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, end_id: int = 0, path: str | None = None) -> DataFrame:

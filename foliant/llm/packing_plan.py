@@ -1,8 +1,10 @@
 """Bin packing of a histogram of lengths, after the linear grouping scheme, as runs of equal placements.
 
 The input is how many items there are of each length, so its size is bounded by the capacity, not by the number of items.
-A run (length, lo, hi, sequence, offset) says: the items of that length with rank lo <= r < hi go to sequences
-sequence + r - lo, all at that offset.
+A run (length, lo, hi, sequence, offset, each) says: of the items of that length, those with rank lo <= r < hi go, ``each`` at a
+time, to the sequences from ``sequence`` on, the first of them at ``offset``. Their number is bounded: a class of bins is cut at most
+once for each length, and every visit of best fit leaves under half of its room, so that there are at most 11 visits to
+each of about three classes a length of 2048: under 70,000 runs for any number of items.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections import defaultdict
 
 import numpy as np
 
-Run = tuple[int, int, int, int, int]
+Run = tuple[int, int, int, int, int, int]
 
 
 class Bins:
@@ -42,11 +44,11 @@ class Bins:
             self.rooms.remove(room)
         return base, n
 
-    def place(self, length: int, n: int, base: int, offset: int) -> None:
-        """The next n items of this length, one each, into the bins from base on."""
+    def place(self, length: int, n: int, base: int, offset: int, each: int = 1) -> None:
+        """The next n items of this length, ``each`` in a bin, into the bins from base on."""
         lo = self.taken[length]
         self.taken[length] += n
-        self.runs.append((length, lo, lo + n, base, offset))
+        self.runs.append((length, lo, lo + n, base, offset, each))
 
     def best_fit(self, length: int, n: int) -> None:
         while n:
@@ -59,8 +61,7 @@ class Bins:
             base, bins = self.take(room)
             each = min(room // length, n)
             full = min(bins, n // each)
-            for k in range(each):
-                self.place(length, full, base, self.capacity - room + k * length)
+            self.place(length, full * each, base, self.capacity - room, each)
             self.put(room - each * length, base, full)
             self.put(room, base + full, bins - full)
             n -= full * each
