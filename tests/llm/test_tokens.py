@@ -67,10 +67,11 @@ def test_plan_is_whole_and_near_the_bound():
         h = {int(n): int(c) for n, c in zip(*np.unique(rng.integers(1, spread + 1, 4000), return_counts=True))}
         runs, bins = plan(h, 2048)
         placed, used = {}, {}
-        for n, lo, hi, base, offset in runs:
+        assert len(runs) < 70_000
+        for n, lo, hi, base, offset, each in runs:
             placed[n] = placed.get(n, 0) + hi - lo
-            for b in range(base, base + hi - lo):
-                used.setdefault(b, []).append((offset, n))
+            for r in range(hi - lo):
+                used.setdefault(base + r // each, []).append((offset + r % each * n, n))
         assert placed == h and len(used) == bins
         for places in used.values():
             at = 0
