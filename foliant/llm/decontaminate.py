@@ -1,10 +1,9 @@
-"""Passages of a benchmark in documents, with edits: CGK embedding, bit-sampling LSH, exact edit distance.
+"""Passages of a benchmark in documents, with edits: grams shared on a band of diagonals, exact edit distance.
 
-The CGK walk reads a string with a pointer that, step by step, stays or advances by a random bit that depends on the step
-and the character read; strings at a small edit distance fall into step again after an edit, so the sequences read are at a
-small Hamming distance. A repeat of the LSH samples some steps of one walk as a key. Documents are cut into disjoint tiles; an
-item's windows of the tile's size start at each of its characters, so that an item of at least 2W - 1 characters covers
-a whole tile wherever it lies. What shares a key is verified by the edit distance of the whole item.
+A passage with few edits shares grams with its item, nearly all on neighbouring diagonals (place in the document less place in
+the item). How many it surely shares at the greatest number of edits follows from the item's length, by drawing random
+edits; bands of diagonals with that many are verified by the edit distance of the whole item, bit-parallel. Long items
+are searched in pieces, one of which has no more than its share of the edits; short ones in pieces of which one has none.
 """
 
 from __future__ import annotations
@@ -19,7 +18,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm.batches import by_text
 
-MAX_EDITS, TARGET_RECALL, HIT_RATE, SAMPLES, WINDOW, LEAST_CHARS, BLOCK_CHARS = 0.2, 0.95, 0.3, 14, 32, 15, 250_000
+MAX_EDITS, TARGET_RECALL, BAND, PIECE, LEAST_CHARS, BLOCK_CHARS = 0.2, 0.95, 16, 512, 15, 250_000
+#: Length of grams for items of at least so many characters.
+GRAMS = {24: 4, 80: 5, 128: 7}
 
 
 def normalised(text: str) -> str:
@@ -30,33 +31,27 @@ def symbols(text: str) -> np.ndarray:
     return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFF).astype(np.uint8)
 
 
-class Walks:
-    """The repeats for windows of one size: which way each step goes on each symbol, and the steps sampled."""
-
-    def __init__(self, window: int, repeats: int, samples: int, seed: int = 5):
-        rng = np.random.default_rng([seed, window])
-        self.window, self.steps = window, 2 * window
-        self.bits = rng.integers(0, 2, (repeats, self.steps, 256), dtype=np.uint8)
-        self.sampled = np.zeros((repeats, self.steps), bool)
-        for r in range(repeats):
-            self.sampled[r, rng.choice(self.steps, min(samples, self.steps), replace=False)] = True
-
-    def keys(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys (repeat, window) of the windows at ``starts``; past a window's end the walk reads nothing new."""
-        out = np.zeros((len(self.bits), len(starts)), np.uint64)
-        last = starts + self.window - 1
-        for r, bits in enumerate(self.bits):
-            at = starts.copy()
-            key = out[r]
-            for step in range(int(np.flatnonzero(self.sampled[r])[-1]) + 1):
-                c = text[at]
-                if self.sampled[r, step]:
-                    key *= np.uint64(0x100000001B3)
-                    key += c + np.uint64(1)
-                at += bits[step][c]
-                np.minimum(at, last, out=at)
-            key ^= key >> np.uint64(29)
-        return out
+def grams(text: np.ndarray, gram: int) -> np.ndarray:
+    out = np.zeros(max(0, len(text) - gram + 1), np.uint64)
+    for i in range(gram):
+        out = (out << np.uint64(8)) + text[i : i + len(out)]
+    return out
+
+
+def needed(length: int, gram: int, max_edits: float, target_recall: float, draws: int = 1000) -> int:
+    """Grams that two neighbouring bands of diagonals share with an item in which as many random edits as are allowed were made.
+
+    A quantile of the draws that leaves half of what ``target_recall`` lets go; kinds of edits are equally likely.
+    """
+    k, rng = math.ceil(max_edits * length), np.random.default_rng([9, length, gram])
+    kinds = rng.integers(1, 4, (draws, length))
+    kinds[np.argsort(np.argsort(rng.random((draws, length)), axis=1), axis=1) >= k] = 0
+    edits = np.concatenate([np.zeros((draws, 1), np.int64), np.cumsum(kinds != 0, axis=1)], axis=1)
+    row, at = np.nonzero(edits[:, gram:] == edits[:, :-gram])
+    drift = np.cumsum((kinds == 2).astype(np.int64) - (kinds == 3), axis=1) + rng.integers(0, BAND, (draws, 1)) + length
+    counts = np.zeros((draws, 2 * length // BAND + 3), np.int64)
+    np.add.at(counts, (row, drift[row, at] // BAND), 1)
+    return int(np.quantile((counts[:, 1:] + counts[:, :-1]).max(axis=1), (1 - target_recall) / 2, method="lower"))
 
 
 def edit_match(item: str, region: str, masks: dict[str, int] | None = None) -> tuple[int, int]:
@@ -91,63 +86,116 @@ def pattern_masks(item: str) -> dict[str, int]:
     return masks
 
 
+def gram_for(length: int) -> int:
+    return GRAMS[max(n for n in GRAMS if n <= length)]
+
+
+def shares(text: str, count: int) -> list[str]:
+    """``text`` in ``count`` parts whose lengths differ by one at most."""
+    return [text[len(text) * i // count : len(text) * (i + 1) // count] for i in range(count)]
+
+
+def quick_key(codes: np.ndarray) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+
+def needed_for(known: dict[tuple[int, int], int], length: int, gram: int, max_edits: float, target_recall: float) -> int:
+    """``needed`` for the length rounded down, so that few lengths are drawn for; kept in ``known``."""
+    rounded = length - length % 16 if length >= 112 else length - length % 4
+    if (rounded, gram) not in known:
+        known[rounded, gram] = needed(rounded, gram, max_edits, target_recall)
+    return known[rounded, gram]
+
+
 class Index:
-    """Item windows by key, for each window size in use."""
+    """Grams of the items, for each length of grams in use."""
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int, max_edits: float, samples: int, widest: int):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float, target_recall: float, known: dict[tuple[int, int], int]):
         self.items, self.max_edits = items, max_edits
-        self.by_size: dict[int, tuple] = {}
-        sized: dict[int, list[int]] = {}
+        self.by_gram: dict[int, tuple] = {}
+        #: Short items: pieces of which one at least is free of edits.
+        self.short: dict[int, list[str]] = {}
+        pieces: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         for i, (_, text) in enumerate(items):
-            w = 1 << (((len(text) + 1) // 2).bit_length() - 1)
-            sized.setdefault(min(w, widest), []).append(i)
-        for w, members in sized.items():
-            walks, texts = Walks(w, repeats, samples), [symbols(items[i][1]) for i in members]
-            flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
-            number = np.repeat(np.arange(len(members)), sizes - w + 1)
-            offset = np.arange(len(number)) - np.repeat(np.cumsum(sizes - w + 1) - (sizes - w + 1), sizes - w + 1)
-            keys = walks.keys(flat, (np.cumsum(sizes) - sizes)[number] + offset)
-            order = np.argsort(keys, axis=1, kind="stable")
-            quick = np.zeros((repeats, 1 << 20), bool)
-            for r in range(repeats):
-                quick[r, (keys[r] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_size[w] = (walks, np.take_along_axis(keys, order, 1), np.array(members)[number][order], offset[order], quick)
+            if len(text) < min(GRAMS):
+                self.short[i] = shares(text, int(max_edits * len(text)) + 1)
+                continue
+            gram, base = gram_for(len(text)), 0
+            for part in shares(text, math.ceil(len(text) / PIECE)):
+                pieces.setdefault(gram, []).append((i, base, symbols(part)))
+                base += len(part)
+        for gram, some in pieces.items():
+            each = [grams(x, gram) for _, _, x in some]
+            sizes = np.array([len(x) for x in each])
+            keys, piece = np.concatenate(each), np.repeat(np.arange(len(some)), sizes)
+            order = np.argsort(keys, kind="stable")
+            offset = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            least = np.array([max(1, needed_for(known, len(x), gram, max_edits, target_recall)) for _, _, x in some])
+            quick = np.zeros(1 << 22, bool)
+            quick[quick_key(keys)] = True
+            distinct, times = np.unique(keys, return_counts=True)
+            self.by_gram[gram] = (distinct, np.cumsum(times) - times, times, piece[order], offset[order], least, np.array([i for i, _, _ in some]), np.array([b for _, b, _ in some]), quick)
         self.masks: dict[int, dict[str, int]] = {}
 
     def candidates(self, texts: list[str]) -> set[tuple[int, int, int]]:
         """(text, item, where the item would start in it)."""
         out: set[tuple[int, int, int]] = set()
+        for i, pieces in self.short.items():
+            for d, text in enumerate(texts):
+                for n, piece in enumerate(pieces):
+                    base, at = sum(map(len, pieces[:n])), text.find(piece)
+                    while at >= 0:
+                        out.add((d, i, at - base))
+                        at = text.find(piece, at + 1)
         sizes = np.array([len(t) for t in texts], np.int64)
-        flat, begin = symbols("".join(texts)), np.cumsum(sizes) - sizes
-        for w, (walks, keys, owner, offset, quick) in self.by_size.items():
-            tiles = sizes // w
-            doc = np.repeat(np.arange(len(texts)), tiles)
-            local = (np.arange(len(doc)) - np.repeat(np.cumsum(tiles) - tiles, tiles)) * w
-            for part in range(0, len(doc), 100_000):
-                d, at = doc[part : part + 100_000], local[part : part + 100_000]
-                found = walks.keys(flat, begin[d] + at)
-                for r, row in enumerate(found):
-                    some = np.flatnonzero(quick[r][(row & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                    low, high = np.searchsorted(keys[r], row[some], "left"), np.searchsorted(keys[r], row[some], "right")
-                    for i, a, b in zip(some[high > low], low[high > low], high[high > low]):
-                        out.update((int(d[i]), int(owner[r, k]), int(at[i] - offset[r, k])) for k in range(a, b))
+        flat, ends = symbols("".join(texts)), np.cumsum(sizes)
+        for gram, (keys, begin, times, piece, offset, least, item, base, quick) in self.by_gram.items():
+            step = min(1 << 17, max(1 << 12, BAND * (6_000_000 // len(least)) // BAND * BAND))
+            for start in range(-PIECE, len(flat), step):
+                low = max(0, start)
+                codes = grams(flat[low : start + step + BAND + PIECE + gram], gram)
+                some = np.flatnonzero(quick[quick_key(codes)])
+                at = np.minimum(np.searchsorted(keys, codes[some]), len(keys) - 1)
+                same = keys[at] == codes[some]
+                some, first, count = some[same], begin[at[same]], times[at[same]]
+                upto = np.cumsum(count)
+                bands = step // BAND + 1
+                shared = np.zeros(bands * len(least), np.int32)
+                cuts = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, 1_000_000), "left").tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(some)]):
+                    n = count[a:b]
+                    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:b], n)
+                    band = (np.repeat(some[a:b], n) + (low - start) - offset[k]) // BAND
+                    held = (band >= 0) & (band < bands)
+                    np.add.at(shared, band[held] * len(least) + piece[k[held]], np.int32(1))
+                grid = shared.reshape(bands, len(least))
+                for band, p in zip(*np.divmod(np.flatnonzero((grid[:-1] + grid[1:] >= least).ravel()), len(least))):
+                    # a band at a border of documents may belong to either
+                    at = start + int(band) * BAND
+                    for d in range(np.searchsorted(ends, at, "right"), min(len(texts), np.searchsorted(ends, at + 2 * BAND + PIECE, "right") + 1)):
+                        out.add((int(d), int(item[p]), int(at + BAND - base[p] - (ends[d] - sizes[d]))))
         return out
 
     def matches(self, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """{(text, item): (distance, start, end)}, the least of the verified candidates."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
+        places: list[list[int]] = []
         for d, i, start in sorted(self.candidates(texts)):
+            # overlapping regions are searched as one
+            if places and places[-1][:2] == [d, i] and start - places[-1][3] <= len(self.items[i][1]):
+                places[-1][3] = start
+            else:
+                places.append([d, i, start, start])
+        for d, i, start, last in places:
             item = self.items[i][1]
             allowed = int(self.max_edits * len(item))
-            low, high = max(0, start - allowed - 32), start + len(item) + allowed + 32
-            if (now := best.get((d, i))) and (now[0] == 0 or start < now[2]) or start < done.get((d, i), -1):
+            low, high = max(0, start - allowed - 32), last + len(item) + allowed + 32
+            if (now := best.get((d, i))) and now[0] == 0:
                 continue
             region = texts[d][low:high]
             if i not in self.masks:
                 self.masks[i] = pattern_masks(item)
             distance, end = edit_match(item, region, self.masks[i])
-            done[d, i] = start + 16
             if distance <= allowed:
                 back, length = edit_match(item[::-1], region[:end][::-1])
                 if now is None or (distance, low + end - length) < now[:2]:
@@ -167,33 +215,38 @@ def item_blocks(benchmark: DataFrame, *, item_col: str = "item_id", item_text_co
             yield items
 
 
-def repeats_for(target_recall: float, hit_rate: float) -> int:
-    return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - hit_rate)))
+def needs(items: list[tuple[int, str]], max_edits: float, target_recall: float) -> dict[tuple[int, int], int]:
+    """What the pieces of ``items`` need, drawn once on the driver."""
+    known: dict[tuple[int, int], int] = {}
+    for _, text in items:
+        if len(text) >= min(GRAMS):
+            for part in shares(text, math.ceil(len(text) / PIECE)):
+                needed_for(known, len(part), gram_for(len(text)), max_edits, target_recall)
+    return known
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL, hit_rate: float = HIT_RATE, samples: int = SAMPLES, window: int = WINDOW, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs (id, item id, distance, item_chars, match_start, match_end) where an item lies in a document with few edits.
 
     An item matches where its edit distance to a passage is at most ``max_edits`` of its length; both are lower-cased and white
-    space becomes one space, and match_start and match_end count in that form. The number of repeats follows from
-    ``target_recall``, given that a repeat hits one edited tile with ``hit_rate``; unedited leaks are always found.
+    space becomes one space, and match_start and match_end count in that form. Leaks with as many
+    random edits as are allowed are found with ``target_recall`` at least, those with fewer more often; unedited ones always.
     Null and empty texts match nothing, nor do items under ``least_chars`` characters. Repeated documents or items give one row a
     pair of ids; a null document id is kept as an id. The items go out in blocks of at most ``block_chars`` characters (a longer
     item is a block), one pass over the documents each, so nothing that is broadcast grows with the benchmark.
     """
     spark = docs.sparkSession
-    repeats = repeats_for(target_recall, hit_rate)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out_names = [id_col, item_col, "distance", "item_chars", "match_start", "match_end"]
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int, item_chars int, match_start long, match_end long"
     found = None
     for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col, least_chars=least_chars, block_chars=block_chars):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast((items, needs(items, max_edits, target_recall)))
         cache: dict[int, Index] = {}
 
         def work(part: pa.RecordBatch, texts: list[str], shared=shared, cache=cache) -> pa.RecordBatch | None:
             if 0 not in cache:
-                cache[0] = Index(shared.value, repeats, max_edits, samples, window)
+                cache[0] = Index(shared.value[0], max_edits, target_recall, shared.value[1])
             index = cache[0]
             got = index.matches([normalised(t) for t in texts])
             if not got:
@@ -212,15 +265,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return best.select(id_col, item_col, "best.*")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL, hit_rate: float = HIT_RATE, samples: int = SAMPLES, window: int = WINDOW) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item lies; see ``find_leaks``. Rows are filtered where they are read."""
-    spark, repeats, at = docs.sparkSession, repeats_for(target_recall, hit_rate), docs.columns.index(text_col)
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast((items, needs(items, max_edits, target_recall)))
 
         def run(batches, shared=shared):
-            index = Index(shared.value, repeats, max_edits, samples, window)
+            index = Index(shared.value[0], max_edits, target_recall, shared.value[1])
             for batch in batches:
                 for start in range(0, len(batch), 512):
                     part = batch.slice(start, 512)

@@ -163,3 +163,23 @@ def test_leaks(spark, none):
     assert not clean & {n for n, _ in got} and {900, 901} <= clean
     assert find_leaks(none, b).count() == 0 and find_leaks(d, b.limit(0)).count() == 0
     assert without_leaks(d, b.limit(0)).count() == len(docs)
+
+
+def test_leaks_at_the_edit_limit(spark):
+    """Random edits of a fifth of the characters, in short and longer items."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, prose(60)[:size].strip()) for i, size in enumerate([20, 50, 85, 110, 180] * 30)]
+
+    def edited(t):
+        t = list(t)
+        for p in sorted(rnd.sample(range(len(t)), len(t) // 5), reverse=True):
+            t[p : p + 1] = rnd.choice([[rnd.choice("xyz")], [], [t[p], rnd.choice("xyz")]])
+        return "".join(t)
+
+    docs = [(i, f"{prose(40)} {edited(t)} {prose(40)}") for i, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"] for r in find_leaks(d, b).collect() if r["doc_id"] == r["item_id"]}
+    for n in range(5):
+        assert len([i for i in found if i % 5 == n]) >= 28
