@@ -7,6 +7,8 @@ what the tables return is checked by the complete distance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -119,39 +121,63 @@ def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) ->
     return pairs.distinct().join(left, "u").join(right, "v").where(distance("a", "b", lanes) <= max_bits).select("u", "v")
 
 
-def linked(prints: DataFrame, *, lanes: int, cuts: list[tuple[int, int, int]], radius: list[int], max_bits: int) -> DataFrame:
+def linked(prints: DataFrame, *, lanes: int, cuts: list[tuple[int, int, int]], radius: list[int], max_bits: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(vertex, component) of distinct fingerprints (node long, fp) that have a link, in two rounds.
 
     First every fingerprint is compared with the least one of each of its buckets, which costs a row a segment and joins dense
     families. Then all lookups are made, but only across the components found: links inside a component change nothing. So
     a bucket that a third of all rows share costs a row each if they are alike. Rows carry numbers only; fingerprints are
-    joined to the candidates.
+    joined to the candidates. ``check`` leaves of the pairs (u, v) within ``max_bits`` those that are links.
     """
+    check = check or (lambda pairs: pairs)
     table = tables(prints, cuts)
     least = table.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
     pairs = table.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v")
-    edges = materialise(verified(pairs, prints, lanes, max_bits), "links")
+    edges = materialise(check(verified(pairs, prints, lanes, max_bits)), "links")
     first = star_components(edges).select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
     known = materialise(prints.join(first, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "prints")
     side = tables(known, cuts, "comp").select("key", F.col("node").alias("v"), F.col("comp").alias("other"))
     across = lookups(known, cuts, radius, "comp").join(side.select("key", "other").distinct(), "key").where("comp <> other")
     more = across.join(side, ["key", "other"]).select(F.col("node").alias("u"), "v")
-    return star_components(edges.union(verified(more, known, lanes, max_bits)))
+    return star_components(edges.union(check(verified(more, known, lanes, max_bits))))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles have at least this Jaccard similarity; ``texts``: (key, text), one row a node or more."""
+    pairs = materialise(pairs, "candidates")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+
+    def work(part: pa.RecordBatch, each: list[str]) -> pa.RecordBatch:
+        sets = [sorted(set(shingle_hashes(t, shingle_words))) for t in each]
+        flat = np.array([h for x in sets for h in x], np.uint64).view(np.int64)
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "shingles"])
+
+    sets = materialise(by_text(texts.join(asked, "key").dropDuplicates(["key"]), {"key": "key"}, "text", work, "key long, shingles array<long>"), "shingles")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("n", F.size(F.array_intersect("a", "b")))
+    return both.where(F.col("n") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("n"))).where("n > 0").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, lanes: int = 1, width: int = 32, radius: list[int] | None = None, max_bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, lanes: int = 1, width: int = 32, radius: list[int] | None = None, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
     """Every row of ``docs`` with its fingerprint and the least id of its component: (id, fp, component_id).
 
     With one lane and two segments of 32 bits, radius 1 in the first and 0 in the second find every pair within 2 bits.
     Rows with equal fingerprints are one node, so thousands of copies cost nothing in the search. A null or empty text has the
     fingerprint zero and links like any other. Repeated rows come out each. Ids must be integers; rows with a null id get a
     null component_id unless their fingerprint's component has an id. An empty table gives no rows; further columns aren't read.
+    With ``similarity``, pairs within ``max_bits`` are linked only if the Jaccard similarity of their shingles is as high; rows of
+    equal fingerprints are one node without that test, and the text of their least id stands for them.
     """
     cuts = segments(lanes, width)
     radius = radius or [1, 0]
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, lanes=lanes), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups = linked(nodes.select("node", "fp"), lanes=lanes, cuts=cuts, radius=radius, max_bits=max_bits)
+    check = None
+    if similarity is not None:
+        texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
+        named_texts = texts.join(nodes.select(F.col("least").alias("id"), F.col("node").alias("key")), F.col("least").eqNullSafe(F.col("id"))).select("key", "text")
+        check = lambda pairs: similar(pairs, named_texts, shingle_words, similarity)
+    groups = linked(nodes.select("node", "fp"), lanes=lanes, cuts=cuts, radius=radius, max_bits=max_bits, check=check)
     named = nodes.join(groups.withColumnRenamed("vertex", "node"), "node", "left").select("fp", "least", F.coalesce("component", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     return prints.join(named.select("fp", "comp").join(least, "comp").drop("comp"), "fp")
@@ -162,8 +188,8 @@ def hex64(fp: Column) -> Column:
 
 
 #: Documents whose five-word shingles have a similarity of 0.8 differ in about 15 per cent of the bits of their fingerprints;
-#: of 256 bits 48 allow for the spread. Twelve segments of 21 or 22 bits are looked up with radius 1.
-SIMILAR = {"shingle_words": 5, "lanes": 4, "width": 21, "radius": [1] * 12, "max_bits": 48}
+#: of 256 bits 48 allow for the spread, and the shingles themselves decide. Twelve segments of 21 or 22 bits are looked up with radius 1.
+SIMILAR = {"shingle_words": 5, "lanes": 4, "width": 21, "radius": [1] * 12, "max_bits": 48, "similarity": 0.8}
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:

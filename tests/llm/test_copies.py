@@ -183,3 +183,17 @@ def test_leaks_at_the_edit_limit(spark):
     found = {r["doc_id"] for r in find_leaks(d, b).collect() if r["doc_id"] == r["item_id"]}
     for n in range(5):
         assert len([i for i in found if i % 5 == n]) >= 28
+
+
+def test_isolated_pairs(spark):
+    """Of pairs just over the similarity of 0.8 one goes, of pairs just under it both stay; no third copy helps."""
+    rnd, rows = random.Random(8), []
+    for n in range(240):
+        words = [str(rnd.getrandbits(40)) for _ in range(204)]
+        other, k = list(words), 4 if n % 2 else 6
+        for j in range(k):
+            other[20 + 30 * j] = "changed"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    both = [n for n in range(240) if {2 * n, 2 * n + 1} <= kept]
+    assert all(kept & {2 * n, 2 * n + 1} for n in range(240)) and len([n for n in both if n % 2 == 0]) == 120
