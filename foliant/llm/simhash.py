@@ -187,9 +187,10 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Documents whose five-word shingles have a similarity of 0.8 differ in about 15 per cent of the bits of their fingerprints;
-#: of 256 bits 48 allow for the spread, and the shingles themselves decide. Twelve segments of 21 or 22 bits are looked up with radius 1.
-SIMILAR = {"shingle_words": 5, "lanes": 4, "width": 21, "radius": [1] * 12, "max_bits": 48, "similarity": 0.8}
+#: Documents whose five-word shingles have a similarity of 0.8 differ in about 15 per cent of the bits of their fingerprints, 78
+#: of 512 with a spread of 8; 110 leave room for nearly all, and the shingles themselves decide. 24 segments of 21 or 22 bits
+#: are looked up with radius 1.
+SIMILAR = {"shingle_words": 5, "lanes": 8, "width": 21, "radius": [1] * 24, "max_bits": 110, "similarity": 0.8}
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:

@@ -197,3 +197,5 @@ def test_isolated_pairs(spark):
     kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     both = [n for n in range(240) if {2 * n, 2 * n + 1} <= kept]
     assert all(kept & {2 * n, 2 * n + 1} for n in range(240)) and len([n for n in both if n % 2 == 0]) == 120
+    assert len([n for n in both if n % 2]) <= 6
+    print("pairs over 0.8 kept both:", len([n for n in both if n % 2]), "of 120")
