@@ -210,7 +210,7 @@ def item_blocks(benchmark: DataFrame, *, item_col: str = "item_id", item_text_co
     blocks = max(1, math.ceil(2 * chars / block_chars))
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        items = sorted((r["item"], t) for r in rows if r["item"] is not None and len(t := normalised(r["text"])) >= least_chars)
+        items = sorted(((r["item"], t) for r in rows if len(t := normalised(r["text"])) >= least_chars), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if items:
             yield items
 
@@ -232,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     space becomes one space, and match_start and match_end count in that form. Leaks with as many
     random edits as are allowed are found with ``target_recall`` at least, those with fewer more often; unedited ones always.
     Null and empty texts match nothing, nor do items under ``least_chars`` characters. Repeated documents or items give one row a
-    pair of ids; a null document id is kept as an id. The items go out in blocks of at most ``block_chars`` characters (a longer
+    pair of ids; null document and item ids are kept as ids. The items go out in blocks of at most ``block_chars`` characters (a longer
     item is a block), one pass over the documents each, so nothing that is broadcast grows with the benchmark.
     """
     spark = docs.sparkSession

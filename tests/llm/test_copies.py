@@ -199,3 +199,11 @@ def test_isolated_pairs(spark):
     assert all(kept & {2 * n, 2 * n + 1} for n in range(240)) and len([n for n in both if n % 2 == 0]) == 120
     assert len([n for n in both if n % 2]) <= 6
     print("pairs over 0.8 kept both:", len([n for n in both if n % 2]), "of 120")
+
+
+def test_items_without_id(spark):
+    text = "a passage of the benchmark that has no number of its own"
+    d = spark.createDataFrame([(1, f"before it {text} after it"), (2, "something else that is of no interest to anyone")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, text), (4, "another passage of it that lies in no document at all")], "item_id long, text string")
+    assert [tuple(r)[:3] for r in find_leaks(d, b).collect()] == [(1, None, 0)]
+    assert [r["doc_id"] for r in without_leaks(d, b).collect()] == [2]
