@@ -32,7 +32,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 @contextmanager
 def temporary(spark: SparkSession, *, keep: list[str] | None = None) -> Iterator[None]:
-    """Delete at the end what was written under new paths inside, but for the paths that ``keep`` then holds.
+    """Delete at the end what was written under new paths inside, but for the folders that ``keep`` then names.
 
     Results that read these tables must have been written or collected by then.
     """
@@ -42,8 +42,9 @@ def temporary(spark: SparkSession, *, keep: list[str] | None = None) -> Iterator
         yield
     finally:
         _MADE[:] = [x for x in _MADE if x is not made]
+        kept = {k.rstrip("/").rpartition("/")[2] for k in keep or ()}
         for path in made:
-            if path not in (keep or ()):
+            if path.rpartition("/")[2] not in kept:
                 _delete(spark, path)
 
 
