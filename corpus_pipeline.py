@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import decontaminate, packing, quality, secrets, simhash
-from foliant.shared import materialise
+from foliant.shared import materialise, remove, temporary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Each stage is written once; what it made on the way, and what the stage before left, is deleted then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept: list[str] = []
+        with temporary(spark, keep=kept):
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept += sorted({f.rpartition("/")[0] for f in docs.inputFiles()})
+        if before is not None:
+            remove(before)
+        before = docs
     return docs
