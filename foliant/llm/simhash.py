@@ -7,6 +7,7 @@ what the tables return is checked by the complete distance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,9 +18,9 @@ from xxhash import xxh64_intdigest
 
 from foliant.llm.batches import by_text
 from foliant.operators.graph import star_components
-from foliant.shared import materialise
+from foliant.shared import materialise, remove
 
-SEED = 42
+SEED, RECALL, BROADCAST_ROWS = 42, 0.98, 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -83,35 +84,67 @@ def distance(a: str, b: str, lanes: int) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(lanes)), F.lit(0))
 
 
-def segments(lanes: int, width: int) -> list[tuple[int, int, int]]:
-    """(lane, shift, width) of consecutive segments; the last of a lane may be wider by what doesn't divide."""
-    per = 64 // width
-    return [(lane, i * width, width if i < per - 1 else 64 - i * width) for lane in range(lanes) for i in range(per)]
+def segments(bits: int, width: int, count: int) -> list[np.ndarray]:
+    """``count`` segments of ``width`` bit positions: consecutive ones first, then those of fixed random orders of all bits."""
+    out: list[np.ndarray] = []
+    while len(out) < count:
+        turn = len(out) // (bits // width)
+        order = np.random.default_rng([5, turn]).permutation(bits) if turn else np.arange(bits)
+        out += [order[i * width : (i + 1) * width] for i in range(bits // width)]
+    return out[:count]
 
 
-def _key(number: int, value: Column) -> Column:
-    return F.lit(number).cast("long") * F.lit(1 << 40) + value
+def differing(similarity: float) -> float:
+    """Share of the bits that differ, on average, between fingerprints of two sets of equal size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def tables(prints: DataFrame, cuts: list[tuple[int, int, int]], *also: str) -> DataFrame:
-    """(key, node): each fingerprint under the value of each of its segments."""
-    rows = [_key(i, F.shiftrightunsigned(F.col("fp")[lane], shift).bitwiseAND(F.lit((1 << width) - 1))) for i, (lane, shift, width) in enumerate(cuts)]
-    return prints.select(F.explode(F.array(*rows)).alias("key"), "node", *also)
+def search_plan(rows: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(width, count) of segments looked up at radius 1 so that a pair of this similarity meets with probability ``recall``.
 
+    The width follows the number of rows, so that a bucket holds an eighth of a stranger on average whatever the size; what a
+    wider segment loses is made up by more of them.
+    """
+    p = differing(similarity)
+    width = min(38, max(16, math.ceil(math.log2(max(2, rows))) + 3))
+    hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+
+
+def _bits(fp: pa.ListArray, lanes: int) -> np.ndarray:
+    flat = fp.flatten().to_numpy(zero_copy_only=False).astype("<i8")
+    return np.unpackbits(flat.view(np.uint8).reshape(-1, 8 * lanes), axis=1, bitorder="little")
 
-def lookups(prints: DataFrame, cuts: list[tuple[int, int, int]], radius: list[int], *also: str) -> DataFrame:
-    """(key, node): the keys each fingerprint looks up, its own segment and, at radius 1, those with one of its set bits cleared.
 
-    Of two segments that differ in one bit, one has that bit set and finds the other.
+def keys_of(prints: DataFrame, lanes: int, cuts: list[np.ndarray], radius: list[int] | None, peek: np.ndarray) -> DataFrame:
+    """(key, node, comp, peek): each fingerprint (node, fp, comp) under the value of each of its segments.
+
+    With ``radius`` also under what it looks up: at radius 1 its segment with one of its set bits cleared. Of two segments that
+    differ in one bit, one has that bit set and finds the other. ``peek``: positions of up to 32 bits that go along, so
+    that most strangers in a bucket are told before anything of them is shuffled.
     """
-    rows = []
-    for i, ((lane, shift, width), r) in enumerate(zip(cuts, radius)):
-        own = F.shiftrightunsigned(F.col("fp")[lane], shift).bitwiseAND(F.lit((1 << width) - 1))
-        ball = [_key(i, own)]
-        if r:
-            ball += [F.when(own.bitwiseAND(F.lit(1 << b)) != 0, _key(i, own - F.lit(1 << b))) for b in range(width)]
-        rows += ball
-    return prints.select(F.explode(F.array_compact(F.array(*rows))).alias("key"), "node", *also)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                bits = _bits(part.column("fp"), lanes)
+                node, comp = (part.column(c).to_numpy() for c in ("node", "comp"))
+                some = (bits[:, peek].astype(np.int64) @ (1 << np.arange(len(peek), dtype=np.int64))).astype(np.uint32).view(np.int32)
+                keys, at = [], []
+                for i, cut in enumerate(cuts):
+                    power = np.int64(1) << np.arange(len(cut), dtype=np.int64)
+                    own = bits[:, cut].astype(np.int64) @ power + (np.int64(i) << np.int64(40))
+                    keys.append(own)
+                    at.append(np.arange(len(own)))
+                    if radius and radius[i]:
+                        row, bit = np.nonzero(bits[:, cut])
+                        keys.append(own[row] - power[bit])
+                        at.append(row)
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[at]), pa.array(comp[at]), pa.array(some[at])], ["key", "node", "comp", "peek"])
+
+    return prints.select("node", "fp", "comp").mapInArrow(run, "key long, node long, comp long, peek int")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) -> DataFrame:
@@ -121,90 +154,117 @@ def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) ->
     return pairs.distinct().join(left, "u").join(right, "v").where(distance("a", "b", lanes) <= max_bits).select("u", "v")
 
 
-def linked(prints: DataFrame, *, lanes: int, cuts: list[tuple[int, int, int]], radius: list[int], max_bits: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: list[int], max_bits: int, peek_bits: int = 32, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(vertex, component) of distinct fingerprints (node long, fp) that have a link, in two rounds.
 
     First every fingerprint is compared with the least one of each of its buckets, which costs a row a segment and joins dense
     families. Then all lookups are made, but only across the components found: links inside a component change nothing. So
-    a bucket that a third of all rows share costs a row each if they are alike. Rows carry numbers only; fingerprints are
-    joined to the candidates. ``check`` leaves of the pairs (u, v) within ``max_bits`` those that are links.
+    a bucket that a third of all rows share costs a row each if they are alike. Rows carry numbers and 32 of the bits, of which
+    ``peek_bits`` at most may differ (32: any); fingerprints are joined to the candidates. ``check`` leaves of the pairs (u, v)
+    within ``max_bits`` those that are links.
     """
     check = check or (lambda pairs: pairs)
-    table = tables(prints, cuts)
-    least = table.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    pairs = table.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v")
+    peek = np.arange(32) * (64 * lanes // 32)
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit(0xFFFFFFFF))) <= peek_bits
+    table = keys_of(prints.withColumn("comp", F.col("node")), lanes, cuts, None, peek)
+    least = table.groupBy("key").agg(F.min(F.struct("node", "peek")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.node").alias("v"), F.col("m.peek").alias("p"))
+    pairs = table.join(least, "key").where("node <> v").where(close("peek", "p")).select(F.col("node").alias("u"), "v")
     edges = materialise(check(verified(pairs, prints, lanes, max_bits)), "links")
     first = star_components(edges).select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
     known = materialise(prints.join(first, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "prints")
-    side = tables(known, cuts, "comp").select("key", F.col("node").alias("v"), F.col("comp").alias("other"))
-    across = lookups(known, cuts, radius, "comp").join(side.select("key", "other").distinct(), "key").where("comp <> other")
-    more = across.join(side, ["key", "other"]).select(F.col("node").alias("u"), "v")
-    return star_components(edges.union(check(verified(more, known, lanes, max_bits))))
+    side = keys_of(known, lanes, cuts, None, peek).select("key", F.col("node").alias("v"), F.col("comp").alias("other"), F.col("peek").alias("p"))
+    met = side.groupBy("key", "other").agg(F.min("v").alias("v"), F.min("p").alias("p"), F.count("*").alias("n"))
+    across = keys_of(known, lanes, cuts, radius, peek).join(met, "key").where("comp <> other").where((F.col("n") > 1) | close("peek", "p"))
+    across = materialise(across.select("key", "node", "peek", "other", "v", "n"), "across")
+    single = across.where("n = 1").select(F.col("node").alias("u"), "v")
+    several = across.where("n > 1").drop("v", "n").join(side, ["key", "other"]).where(close("peek", "p")).select(F.col("node").alias("u"), "v")
+    found = materialise(check(verified(single.union(several), known, lanes, max_bits)), "links")
+    remove(across)
+    return star_components(edges.union(found))
+
 
+def _matched(rows: DataFrame, few: DataFrame, condition: Column, how: str) -> DataFrame:
+    """A join of wide rows with the materialised ``few``: broadcast if they are few indeed, else by a shuffle of both."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, condition, how)
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets of shingles have at least this Jaccard similarity; ``texts``: (key, text), one row a node or more."""
+
+def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles have at least this Jaccard similarity.
+
+    ``names``: (key, least), the id of the text that stands for a node; ``texts``: (id, text). Only the texts asked for move; shingles
+    are compared by 32 bits of their hashes.
+    """
     pairs = materialise(pairs, "candidates")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    asked = materialise(names.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key"), "asked")
 
     def work(part: pa.RecordBatch, each: list[str]) -> pa.RecordBatch:
-        sets = [sorted(set(shingle_hashes(t, shingle_words))) for t in each]
-        flat = np.array([h for x in sets for h in x], np.uint64).view(np.int64)
+        sets = [np.unique(np.array(shingle_hashes(t, shingle_words), np.uint64).astype(np.uint32)) for t in each]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        flat = np.concatenate([*sets, np.zeros(0, np.uint32)]).view(np.int32)
         return pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "shingles"])
 
-    sets = materialise(by_text(texts.join(asked, "key").dropDuplicates(["key"]), {"key": "key"}, "text", work, "key long, shingles array<long>"), "shingles")
+    wanted = _matched(texts, asked, texts["id"].eqNullSafe(asked["least"]), "inner")
+    sets = materialise(by_text(wanted, {"key": "key"}, "text", work, "key long, shingles array<int>"), "shingles").groupBy("key").agg(F.min("shingles").alias("s"))
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("n", F.size(F.array_intersect("a", "b")))
     return both.where(F.col("n") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("n"))).where("n > 0").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, lanes: int = 1, width: int = 32, radius: list[int] | None = None, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, lanes: int = 1, max_bits: int = 2, similarity: float | None = None, recall: float = RECALL) -> DataFrame:
     """Every row of ``docs`` with its fingerprint and the least id of its component: (id, fp, component_id).
 
-    With one lane and two segments of 32 bits, radius 1 in the first and 0 in the second find every pair within 2 bits.
-    Rows with equal fingerprints are one node, so thousands of copies cost nothing in the search. A null or empty text has the
-    fingerprint zero and links like any other. Repeated rows come out each. Ids must be integers; rows with a null id get a
-    null component_id unless their fingerprint's component has an id. An empty table gives no rows; further columns aren't read.
-    With ``similarity``, pairs within ``max_bits`` are linked only if the Jaccard similarity of their shingles is as high; rows of
-    equal fingerprints are one node without that test, and the text of their least id stands for them.
+    Without ``similarity`` there is one lane and ``max_bits`` is 2 at most: of two segments of 32 bits, radius 1 in the first and 0 in
+    the second find every pair. Rows with equal fingerprints are one node, so thousands of copies cost nothing in the search. A
+    null or empty text has the fingerprint zero and links like any other. Repeated rows come out each. Ids must be integers or
+    structs of them; rows with a null id get a null component_id unless their fingerprint's component has an id. An empty table
+    gives no rows; further columns aren't read.
+
+    With ``similarity``, pairs of texts are linked if the Jaccard similarity of their shingles is as high and their fingerprints are
+    not further apart than four deviations over what is expected then; ``search_plan`` finds them with ``recall``. Rows of equal fingerprints
+    are one node without that test, and the text of their least id stands for them.
     """
-    cuts = segments(lanes, width)
-    radius = radius or [1, 0]
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, lanes=lanes), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    check = None
-    if similarity is not None:
-        texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
-        named_texts = texts.join(nodes.select(F.col("least").alias("id"), F.col("node").alias("key")), F.col("least").eqNullSafe(F.col("id"))).select("key", "text")
-        check = lambda pairs: similar(pairs, named_texts, shingle_words, similarity)
-    groups = linked(nodes.select("node", "fp"), lanes=lanes, cuts=cuts, radius=radius, max_bits=max_bits, check=check)
-    named = nodes.join(groups.withColumnRenamed("vertex", "node"), "node", "left").select("fp", "least", F.coalesce("component", "node").alias("comp"))
+    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    if similarity is None:
+        if lanes != 1 or max_bits > 2:
+            raise ValueError("two segments of one lane are complete up to 2 bits only")
+        groups = linked(nodes.select("node", "fp"), lanes=1, cuts=segments(64, 32, 2), radius=[1, 0], max_bits=max_bits)
+    else:
+        width, count = search_plan(nodes.count(), similarity, recall)
+        p, texts = differing(similarity), docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        most = lambda bits: math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+        names = nodes.select(F.col("node").alias("key"), "least")
+        check = lambda pairs: similar(pairs, texts, names, shingle_words, similarity)
+        groups = linked(nodes.select("node", "fp"), lanes=lanes, cuts=segments(64 * lanes, width, count), radius=[1] * count, max_bits=most(64 * lanes), peek_bits=most(32), check=check)
+    named = nodes.join(groups.withColumnRenamed("vertex", "node"), "node", "left").select("fp", "least", "copies", F.coalesce("component", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "comp").join(least, "comp").drop("comp"), "fp")
+    named = materialise(named.select("fp", "copies", "comp").join(least, "comp").drop("comp"), "named")
+    # fingerprints that a thousandth of all rows share are a thousand at most, whatever the table
+    hot = named.where(F.col("copies") * 1000 > prints.count()).drop("copies")
+    rare = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.drop("copies"), "fp")
+    return rare.union(prints.join(F.broadcast(hot), "fp"))
 
 
 def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Documents whose five-word shingles have a similarity of 0.8 differ in about 15 per cent of the bits of their fingerprints, 78
-#: of 512 with a spread of 8; 110 leave room for nearly all, and the shingles themselves decide. 24 segments of 21 or 22 bits
-#: are looked up with radius 1.
-SIMILAR = {"shingle_words": 5, "lanes": 8, "width": 21, "radius": [1] * 24, "max_bits": 110, "similarity": 0.8}
+#: Five-word shingles on 512 bits, of which 78 differ on average (spread 8) at a similarity of 0.8.
+SIMILAR = {"shingle_words": 5, "lanes": 8, "similarity": 0.8}
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their near-duplicate group: least id, then hash of the text.
 
-    ``search``: the parameters of ``near_duplicates``, by default ``SIMILAR``. Of rows repeated with id and text, one stays.
+    ``search``: the parameters of ``near_duplicates``, by default ``SIMILAR``. Of rows repeated with id and text, one stays; a null id
+    comes before all others, so of a group with one such row that row stays. Null and empty texts are copies of each
+    other. An empty table stays empty; columns may have any names. Texts aren't shuffled: what goes is told by keys.
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"))
     groups = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", **(search or SIMILAR))
-    first = materialise(groups.where("key = component_id").groupBy("key").agg(F.count("*").alias("n")), "firsts")
-    keyed = docs.withColumn("__key", key)
-
-    def those(condition: str) -> DataFrame:
-        some = first.where(condition).select(F.col("key.id").alias("__id"), F.col("key.t").alias("__t"))
-        return keyed.join(some, keyed["__key.id"].eqNullSafe(some["__id"]) & (keyed["__key.t"] == some["__t"]), "left_semi")
-
-    return those("n = 1").union(those("n > 1").dropDuplicates(["__key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    seen = groups.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("key") == F.col("component_id")).alias("first"))
+    marked = materialise(seen.where("not first or n > 1").select(F.col("key.id").alias("_id"), F.col("key.t").alias("_t"), "first"), "marked")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), key.alias("key"))
+    flagged = _matched(rows, marked, rows["key.id"].eqNullSafe(marked["_id"]) & (rows["key.t"] == marked["_t"]), "left")
+    once = flagged.where("first is null").select("row.*")
+    return once.union(flagged.where("first").dropDuplicates(["key"]).select("row.*"))

@@ -91,7 +91,7 @@ def test_links_of_dense_families(spark):
     prints = sorted(prints)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
     table = spark.createDataFrame([(i, [p]) for i, p in enumerate(signed)], "node long, fp array<long>")
-    got = dict(map(tuple, simhash.linked(table, lanes=1, cuts=simhash.segments(1, 32), radius=[1, 0], max_bits=2).collect()))
+    got = dict(map(tuple, simhash.linked(table, lanes=1, cuts=simhash.segments(64, 32, 2), radius=[1, 0], max_bits=2).collect()))
     group = brute_groups(prints, lambda a, b: (a ^ b).bit_count() <= 2)
     for g in set(group):
         members = [i for i, h in enumerate(group) if h == g]
