@@ -2,20 +2,27 @@
 
 Every change writes new files and then commits a new manifest, which names all live shards. A manifest appears by renaming a
 finished file to a name that must not exist yet, so readers see one version or the next, and of two writers one fails.
-Files that no manifest names (from lost or repeated tasks) are never read; ``vacuum`` deletes them.
+Files that no manifest names (from lost or repeated tasks) are never read; ``vacuum`` deletes them once no writer can
+still be about to commit them: a writer announces its folder as an open intent before it writes and withdraws it after its
+commit, and intents that no writer has withdrawn count as abandoned after a stated age only.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-TARGET_BYTES, FAN_IN = 256 << 20, 4
+TARGET_BYTES, FAN_IN, ABANDONED_S, GROUP_BYTES = 256 << 20, 4, 7 * 24 * 3600.0, 32 << 20
 
 
 class Conflict(RuntimeError):
@@ -75,20 +82,51 @@ class ShardedTable:
             raise
         return version
 
-    def _written(self, df: DataFrame) -> list[dict]:
-        """Write ``df`` as shards in a folder of their own and measure them; Spark's commit leaves finished tasks' files only."""
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        files = [x for x in self._list(folder) if x.getPath().getName().endswith(".parquet")]
+    @contextmanager
+    def _intent(self) -> Iterator[str]:
+        """The name of a data folder that ``vacuum`` spares until the block ends, by a commit or by giving up."""
+        name = uuid.uuid4().hex
+        mark = self._path(f"{self.root}/intents/{name}")
+        self.fs.create(mark, False).close()
+        try:
+            yield name
+        finally:
+            self.fs.delete(mark, False)
+
+    def _measured(self, folder: str) -> list[dict]:
+        """The shards in ``folder`` with their sizes and, from their footers, their rows; without a Spark job a file."""
+        files = [(x.getPath().toString(), x.getLen()) for x in self._list(folder) if x.getPath().getName().endswith(".parquet")]
         if not files:
             return []
-        rows = {r["f"].rsplit("/", 1)[1]: r["n"] for r in self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()}
-        return [{"path": x.getPath().toString(), "bytes": x.getLen(), "rows": rows[x.getPath().getName()]} for x in files if rows.get(x.getPath().getName())]
+
+        def footers(batches):
+            for batch in batches:
+                paths = batch.column("path").to_pylist()
+                rows = []
+                for path in paths:
+                    system, place = pyarrow.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+                    with system.open_input_file(place) as f:
+                        rows.append(pyarrow.parquet.read_metadata(f).num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rows, pa.int64())], ["path", "rows"])
+
+        named = self.spark.createDataFrame([(p,) for p, _ in files], "path string").repartition(min(len(files), 64))
+        rows = {r["path"]: r["rows"] for r in named.mapInArrow(footers, "path string, rows long").collect()}
+        return [{"path": p, "bytes": n, "rows": rows[p]} for p, n in files if rows[p]]
+
+    def _written(self, df: DataFrame, name: str) -> list[dict]:
+        """Write ``df`` as shards in a folder of their own and measure them; Spark's commit leaves finished tasks' files only."""
+        folder = f"{self.root}/data/{name}"
+        df.write.parquet(folder)
+        return self._measured(folder)
 
     def append(self, df: DataFrame) -> int:
-        """Add the rows as they come in, one small shard a task, without a shuffle. Returns the version committed."""
+        """Add the rows as they come in, one small shard a task, without a shuffle. Returns the version committed.
+
+        A task of over the target size leaves a shard of that size, which the next compaction cuts.
+        """
         base = self.manifest()
-        return self._commit(base, df.schema, base["shards"] + self._written(df))
+        with self._intent() as name:
+            return self._commit(base, df.schema, base["shards"] + self._written(df, name))
 
     def tier(self, size: int) -> int:
         """0 for final shards, then by powers of the fan-in down to the smallest."""
@@ -98,7 +136,7 @@ class ShardedTable:
         return t
 
     def _groups(self, shards: list[dict], everything: bool) -> list[list[dict]]:
-        """Shards of one tier, in order of size, cut into groups that make up about one target each."""
+        """Shards of one tier, in order of size, cut into groups that make up about one target each; one over twice the target alone, to be cut."""
         tiers: dict[int, list[dict]] = {}
         for s in sorted(shards, key=lambda s: (s["bytes"], s["path"])):
             if (t := self.tier(s["bytes"])) > 0:
@@ -113,28 +151,87 @@ class ShardedTable:
                 group.append(s)
                 size += s["bytes"]
             groups.append(group)
-        return [g for g in groups if len(g) >= (2 if everything else self.fan_in)]
+        large = [[s] for s in shards if s["bytes"] > 2 * self.target and s["rows"] > 1]
+        return large + [g for g in groups if len(g) >= (2 if everything else self.fan_in)]
+
+    def _merged(self, groups: list[list[dict]], schema: StructType, name: str) -> list[dict]:
+        """All groups in one job, whatever their number: a task a group streams through the row groups of its shards.
 
-    def compact(self, *, everything: bool = False, together: int = 4) -> int:
+        Files are written under a name of the attempt and renamed when whole, so a repeated task leaves one file; parts of a
+        group that is cut get about the target each.
+        """
+        kind, root, target = schema, self.root if "://" in self.root else self.root.replace("file:/", "file:///", 1), self.target
+        rows = [(i, json.dumps([s["path"] for s in g]), sum(s["bytes"] for s in g), sum(s["rows"] for s in g)) for i, g in enumerate(groups)]
+        todo = self.spark.createDataFrame(rows, "n int, paths string, bytes long, n_rows long").repartitionById(len(rows), "n")
+
+        def merge(batches):
+            from pyspark import TaskContext
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            attempt, arrow, held = TaskContext.get().taskAttemptId(), to_arrow_schema(kind, timestamp_utc=True), []
+
+            def flush(out) -> None:
+                out.write_table(pa.concat_tables(held))
+                held.clear()
+
+            for batch in batches:
+                for job in batch.to_pylist():
+                    parts = max(1, round(job["bytes"] / target)) if len(json.loads(job["paths"])) == 1 else 1
+                    per, k, left, out, made = -(-job["n_rows"] // parts), 0, 0, None, []
+                    for path in json.loads(job["paths"]):
+                        files, place = pyarrow.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+                        with files.open_input_file(place) as f:
+                            for some in pyarrow.parquet.ParquetFile(f).iter_batches(4096):
+                                some = pa.Table.from_batches([some]).select(arrow.names).cast(arrow)
+                                while some.num_rows:
+                                    if out is None:
+                                        system, base = pyarrow.fs.FileSystem.from_uri(f"{root}/data/{name}")
+                                        system.create_dir(base, recursive=True)
+                                        hidden, final = f"{base}/.part-{job['n']:07d}-{k:05d}.{attempt}", f"{base}/part-{job['n']:07d}-{k:05d}.parquet"
+                                        out, left = pyarrow.parquet.ParquetWriter(hidden, arrow, filesystem=system, compression="snappy"), per
+                                    take = some.slice(0, left)
+                                    held.append(take)
+                                    some, left = some.slice(take.num_rows), left - take.num_rows
+                                    if not left or sum(t.nbytes for t in held) >= GROUP_BYTES:
+                                        flush(out)
+                                    if not left:
+                                        out.close()
+                                        out, k = None, k + 1
+                                        made.append((hidden, final))
+                    if out is not None:
+                        if held:
+                            flush(out)
+                        out.close()
+                        made.append((hidden, final))
+                    for hidden, final in made:
+                        replaced(system, hidden, final)
+                    yield pa.RecordBatch.from_arrays([pa.array([job["n"]], pa.int32())], ["n"])
+
+        todo.mapInArrow(merge, "n int").collect()
+        return self._measured(f"{self.root}/data/{name}")
+
+    def compact(self, *, everything: bool = False) -> int:
         """Merge tiers that hold ``fan_in`` runs or more, again and again, and commit once. ``everything``: small rests too.
 
         A group is one file of about the target size, written by one task that streams through its shards, so memory is bounded
-        by a row group. If nothing is to be merged, the version stays.
+        by a few thousand rows and a row group; shards over twice the target are cut. A round is one job for any number of groups. If nothing
+        is to be merged, the version stays.
         """
         base = self.manifest()
         if not base["version"]:
             return 0
         schema, shards = StructType.fromJson(base["schema"]), base["shards"]
-        changed = False
-        while groups := self._groups(shards, everything):
-            merge = lambda g: self._written(self.spark.read.schema(schema).parquet(*[s["path"] for s in g]).coalesce(1))
-            with ThreadPoolExecutor(together) as pool:
-                made = [s for out in pool.map(merge, groups) for s in out]
-            gone = {s["path"] for g in groups for s in g}
-            shards, changed = [s for s in shards if s["path"] not in gone] + made, True
-            if everything:
-                break
-        return self._commit(base, schema, shards) if changed else base["version"]
+        if not self._groups(shards, everything):
+            return base["version"]
+        with self._intent() as name:
+            turn = 0
+            while groups := self._groups(shards, everything):
+                made = self._merged(groups, schema, f"{name}/{turn}")
+                gone = {s["path"] for g in groups for s in g}
+                shards, turn = [s for s in shards if s["path"] not in gone] + made, turn + 1
+                if everything:
+                    break
+            return self._commit(base, schema, shards)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; shards are read as they are named, never by listing a folder."""
@@ -143,33 +240,58 @@ class ShardedTable:
         paths = [s["path"] for s in found["shards"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self) -> int:
-        """Delete files that the last version doesn't name; earlier versions can't be read afterwards. Returns how many went."""
-        live, n = {s["path"] for s in self.manifest()["shards"]}, 0
-        for folder in self._list(f"{self.root}/data"):
-            files = [x.getPath() for x in self._list(folder.getPath().toString())]
-            for path in files:
-                if path.getName().endswith(".parquet") and path.toString() not in live:
-                    self.fs.delete(path, False)
-                    n += 1
-            if not any(p.toString() in live for p in files):
-                self.fs.delete(folder.getPath(), True)
+    def vacuum(self, *, abandoned_s: float = ABANDONED_S) -> int:
+        """Delete files that the last version doesn't name; earlier versions can't be read afterwards. Returns how many went.
+
+        Folders of open intents are spared, unless the intent is older than ``abandoned_s``, which must exceed the longest write.
+        Intents are listed before the manifest is read: a writer that has withdrawn its intent by then has committed or given up.
+        """
+        now, n = time.time(), 0
+        folders = {x.getPath().getName(): x.getPath() for x in self._list(f"{self.root}/data")}
+        ages = {x.getPath().getName(): now - x.getModificationTime() / 1000 for x in self._list(f"{self.root}/intents")}
+        live = {s["path"] for s in self.manifest()["shards"]}
+        for name, folder in folders.items():
+            if ages.get(name, abandoned_s + 1) <= abandoned_s:
+                continue
+            stack, files = [folder], []
+            while stack:
+                for x in self._list(stack.pop().toString()):
+                    (stack if x.isDirectory() else files).append(x.getPath())
+            gone = [p for p in files if p.toString() not in live]
+            n += sum(p.getName().endswith(".parquet") for p in gone)
+            if len(gone) == len(files):
+                self.fs.delete(folder, True)
+            else:
+                for p in gone:
+                    self.fs.delete(p, False)
+            if name in ages:
+                self.fs.delete(self._path(f"{self.root}/intents/{name}"), False)
         return n
 
 
+def replaced(system, made: str, final: str) -> None:
+    """Give the whole file ``made`` its final name; what a repeated task left there is replaced, in one step where the system can."""
+    try:
+        system.move(made, final)
+    except OSError:
+        if system.get_file_info(final).type == pyarrow.fs.FileType.NotFound:
+            raise
+        system.delete_file(final)
+        system.move(made, final)
+
+
 def shard_documents(docs: DataFrame, root: str, *, arrivals: int = 4, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardedTable:
     """``docs`` as a compacted sharded table.
 
     The rows arrive in ``arrivals`` appends (by a hash of the whole row, so any key may be hot), each followed by a compaction of the
-    tiers that are full; at the end the rests are merged and what was replaced is deleted. All rows and columns are kept as
-    they are: nulls, repeated rows, texts of any length. An empty table gives a committed version without shards.
+    tiers that are full; at the end the rests are merged and, when all is committed, what was replaced is deleted. All rows and
+    columns are kept as they are: nulls, repeated rows, texts of any length. An empty table gives a committed version without shards.
     """
     table = ShardedTable(docs.sparkSession, root, target_bytes=target_bytes, fan_in=fan_in)
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     for k in range(arrivals):
         table.append(docs.where(F.pmod(row, F.lit(arrivals)) == k))
         table.compact()
-        table.vacuum()
     table.compact(everything=True)
     table.vacuum()
     return table
