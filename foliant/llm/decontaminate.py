@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.batches import by_text
+from foliant.llm.batches import by_text, whole_rows
 
 MAX_EDITS, TARGET_RECALL, BAND, PIECE, LEAST_CHARS, BLOCK_CHARS = 0.2, 0.95, 16, 512, 15, 250_000
 #: Length of grams for items of at least so many characters.
@@ -267,18 +267,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item lies; see ``find_leaks``. Rows are filtered where they are read."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    spark = docs.sparkSession
     for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col):
         shared = spark.sparkContext.broadcast((items, needs(items, max_edits, target_recall)))
 
-        def run(batches, shared=shared):
-            index = Index(shared.value[0], max_edits, target_recall, shared.value[1])
-            for batch in batches:
-                for start in range(0, len(batch), 512):
-                    part = batch.slice(start, 512)
-                    dirty = {d for d, _ in index.matches([normalised(x or "") for x in part.column(at).to_pylist()])}
-                    yield part.filter(pa.array([i not in dirty for i in range(len(part))]))
+        cache: dict[int, Index] = {}
+
+        def work(part: pa.RecordBatch, texts: list[str], shared=shared, cache=cache) -> pa.RecordBatch:
+            if 0 not in cache:
+                cache[0] = Index(shared.value[0], max_edits, target_recall, shared.value[1])
+            dirty = {d for d, _ in cache[0].matches([normalised(x) for x in texts])}
+            return part.filter(pa.array([i not in dirty for i in range(len(part))]))
 
-        docs = docs.mapInArrow(run, types)
+        docs = whole_rows(docs, text_col, work, most=2_000_000)
     return docs

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.batches import by_text
+from foliant.llm.batches import by_text, whole_rows
 
-PASSAGE_BYTES, SAMPLE_ROWS, THRESHOLD, HIDDEN, GATES, EPOCHS = 512, 4000, 0.7, 16, 8, 40
+PASSAGE_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, THRESHOLD, HIDDEN, GATES, EPOCHS = 512, 4000, 48_000_000, 0.7, 16, 8, 40
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _FINE = np.full(256, 6, np.int64)
 _COARSE = np.full(256, 5, np.int64)
@@ -129,22 +129,33 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, epochs: int = EPOCHS, s
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AttentionModel:
-    """Train on at most ``sample_rows`` labelled ids, those with the least hash; held-out ids, null labels and null ids are left out.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
+    """Train on at most ``sample_rows`` labelled documents of at most ``sample_bytes`` bytes together, those with the least hash of their ids;
+    held-out ids, null labels and null ids are left out, and so is a text that would exceed the bytes.
 
-    An id with several labels takes their rounded mean. Whole texts of the sampled documents are used. The sample is the only
-    thing that goes to the driver, so its size is bounded by ``sample_rows`` documents.
+    An id with several labels takes their rounded mean. Whole texts of the sampled documents are used; of rows repeated with id
+    and text, one. What goes to the driver is the sample only, whatever the table holds: first its ids and sizes, then its
+    features, some 616 bytes a passage of ``PASSAGE_BYTES``.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("labelled")).agg(F.round(F.avg(label_col)).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample_rows)
-    rows = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(some), F.col(id_col) == F.col("labelled"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("key"), text.alias("t"), F.xxhash64(text).alias("h")).join(F.broadcast(some), F.col("key") == F.col("labelled"))
+    sizes = rows.groupBy("labelled", "h").agg(F.min(F.octet_length("t")).alias("n")).orderBy(F.xxhash64("labelled"), "labelled", "h").limit(sample_rows).collect()
+    chosen, left = [], sample_bytes
+    for r in sizes:
+        if r["n"] <= left:
+            chosen.append((r["labelled"], r["h"]))
+            left -= r["n"]
+    picked = docs.sparkSession.createDataFrame(chosen, f"pick {docs.schema[id_col].dataType.simpleString()}, pick_h long")
+    rows = rows.join(F.broadcast(picked), (F.col("labelled") == F.col("pick")) & (F.col("h") == F.col("pick_h"))).dropDuplicates(["labelled", "h"])
 
     def work(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         x, per = passage_features(texts)
         ends = np.cumsum(per)
         return pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([x[e - p : e].tobytes() for e, p in zip(ends, per)], pa.binary())], ["id", "y", "x"])
 
-    found = sorted(by_text(rows, {"id": F.col(id_col).cast("string"), "y": "y"}, "t", work, "id string, y int, x binary").collect())
+    found = sorted(by_text(rows, {"id": F.col("labelled").cast("string"), "y": "y"}, "t", work, "id string, y int, x binary").collect())
     return train([np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in found], np.array([r["y"] for r in found], float))
 
 
@@ -166,15 +177,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, model: AttentionModel, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score at least ``threshold``."""
-    at = docs.columns.index(text_col)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                y = model.score(*passage_features([x or "" for x in part.column(at).to_pylist()]))
-                yield part.filter(pa.array(y >= threshold))
-
-    return docs.mapInArrow(run, types)
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``.
+
+    A null text scores as an empty one; repeated rows score alike; an empty table stays empty; columns may have any names.
+    """
+
+    def work(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return part.filter(pa.array(model.score(*passage_features(texts)) >= threshold))
+
+    return whole_rows(docs, text_col, work)

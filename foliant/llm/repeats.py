@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.batches import byte_slices
 from foliant.llm.suffixes import suffix_array
 from foliant.shared import materialise
 
@@ -203,12 +204,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).withColumn("t", F.xxhash64("raw"))
 
     def anchors(batches):
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                owner, a, b, h, c, o = text_runs(part.column("raw").to_pylist(), length, gram, 1_000_000)
-                at = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), part.column("id").take(at), part.column("t").take(at), pa.array(a << 17 | (b - a) << 9 | o)], ["h", "c", "id", "t", "span"])
+        for part in byte_slices(batches, "raw"):
+            owner, a, b, h, c, o = text_runs(part.column("raw").to_pylist(), length, gram, 1_000_000)
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), part.column("id").take(at), part.column("t").take(at), pa.array(a << 17 | (b - a) << 9 | o)], ["h", "c", "id", "t", "span"])
 
     if length - gram >= 256:
         raise ValueError("a window holds at most 255 grams besides its first")
@@ -223,10 +222,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t"), pa.array([pack.compress(x) for x in part.column("raw").to_pylist()], pa.binary())], ["id", "t", "z"])
+        for part in byte_slices(batches, "raw"):
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t"), pa.array([pack.compress(x) for x in part.column("raw").to_pylist()], pa.binary())], ["id", "t", "z"])
 
     packed = source.mapInArrow(squeeze, f"id {kind}, t long, z binary")
     asked = open_.groupBy("id", "t").agg(F.collect_list(F.struct("h", "n", "kinds", "span")).alias("asked")).withColumnsRenamed({"id": "aid", "t": "at"})
@@ -234,18 +231,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                rows = {k: [] for k in ("h", "n", "kinds", "row", "a", "anchor", "raw")}
-                for i, (z, asks) in enumerate(zip(part.column("z").to_pylist(), part.column("asked").to_pylist())):
-                    raw = unpack.decompress(z)
-                    for x in asks:
-                        a, extra = x["span"] >> 17, x["span"] >> 9 & 255
-                        for k, v in zip(rows, (x["h"], x["n"], x["kinds"], i, a, x["span"] & 511, raw[a : a + extra + length])):
-                            rows[k].append(v)
-                at = pa.array(rows["row"], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows["h"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["kinds"], pa.int64()), part.column("id").take(at), part.column("t").take(at), pa.array(rows["a"], pa.int64()), pa.array(rows["anchor"], pa.int32()), pa.array(rows["raw"], pa.binary())], ["h", "n", "kinds", "id", "t", "a", "anchor", "raw"])
+        for part in byte_slices(batches, "z"):
+            rows = {k: [] for k in ("h", "n", "kinds", "row", "a", "anchor", "raw")}
+            for i, (z, asks) in enumerate(zip(part.column("z").to_pylist(), part.column("asked").to_pylist())):
+                raw = unpack.decompress(z)
+                for x in asks:
+                    a, extra = x["span"] >> 17, x["span"] >> 9 & 255
+                    for k, v in zip(rows, (x["h"], x["n"], x["kinds"], i, a, x["span"] & 511, raw[a : a + extra + length])):
+                        rows[k].append(v)
+            at = pa.array(rows["row"], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows["h"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["kinds"], pa.int64()), part.column("id").take(at), part.column("t").take(at), pa.array(rows["a"], pa.int64()), pa.array(rows["anchor"], pa.int32()), pa.array(rows["raw"], pa.binary())], ["h", "n", "kinds", "id", "t", "a", "anchor", "raw"])
 
     contexts = materialise(fetched.mapInArrow(cut, f"h long, n long, kinds long, id {kind}, t long, a long, anchor int, raw binary"), "cuts")
 
@@ -265,19 +260,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     decided = contexts.where(F.col("kinds") <= most_contexts).repartition("h").sortWithinPartitions("h").mapInArrow(decide, found_type)
 
     def windows(batches):
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                row, at, low, high = [], [], [], []
-                for i, (raw, a) in enumerate(zip(part.column("raw").to_pylist(), part.column("a").to_pylist())):
-                    for k in range(len(raw) - length + 1):
-                        digest = xxhash.xxh3_128_intdigest(raw[k : k + length])
-                        row.append(i)
-                        at.append(a + k)
-                        low.append((digest & (2**64 - 1)) - 2**63)
-                        high.append((digest >> 64) - 2**63)
-                rows = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("t").take(rows), part.column("n").take(rows), pa.array(at, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["id", "t", "n", "a", "low", "high"])
+        for part in byte_slices(batches, "raw"):
+            row, at, low, high = [], [], [], []
+            for i, (raw, a) in enumerate(zip(part.column("raw").to_pylist(), part.column("a").to_pylist())):
+                for k in range(len(raw) - length + 1):
+                    digest = xxhash.xxh3_128_intdigest(raw[k : k + length])
+                    row.append(i)
+                    at.append(a + k)
+                    low.append((digest & (2**64 - 1)) - 2**63)
+                    high.append((digest >> 64) - 2**63)
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("t").take(rows), part.column("n").take(rows), pa.array(at, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["id", "t", "n", "a", "low", "high"])
 
     each = contexts.where(F.col("kinds") > most_contexts).mapInArrow(windows, f"id {kind}, t long, n long, a long, low long, high long")
     often = each.groupBy("low", "high").agg(F.count("*").alias("times")).where("times > 1").select("low", "high")
@@ -288,17 +281,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def finish(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                out = []
-                for z, s in zip(part.column("z").to_pylist(), part.column("spans").to_pylist()):
-                    raw = unpack.decompress(z)
-                    removed, n, left = kept(raw, [(x["a"], x["b"]) for x in s or []], length)
-                    out.append((len(raw), removed, n, hashlib.sha256(left).hexdigest(), left))
-                columns = [part.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))]
-                names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                yield pa.RecordBatch.from_arrays(columns if with_text else columns[:-1], names if with_text else names[:-1])
+        for part in byte_slices(batches, "z"):
+            out = []
+            for z, s in zip(part.column("z").to_pylist(), part.column("spans").to_pylist()):
+                raw = unpack.decompress(z)
+                removed, n, left = kept(raw, [(x["a"], x["b"]) for x in s or []], length)
+                out.append((len(raw), removed, n, hashlib.sha256(left).hexdigest(), left))
+            columns = [part.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))]
+            names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays(columns if with_text else columns[:-1], names if with_text else names[:-1])
 
     done = joined.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return done
