@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from foliant.llm import quality, secrets
@@ -52,12 +55,13 @@ def test_top_k(spark, block):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(900)]
     vectors += [(1000 + i, vectors[i][1]) for i in range(50)] + [(2000, None), (2100, [1.0, None] + [0.0] * 6), (2200, [float("nan")] + [0.0] * 7), (2300, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (2400, [0.0] * 8), (2500, [1.0])]
+    vectors += [vectors[100], (200, rng.normal(size=8).tolist()), (300, (2 * np.array(vectors[300][1])).tolist())]
     table = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, score int").repartition(3)
     sound = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, a in sound:
+    for n, (q, a) in enumerate(sound):
         if q % 100 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in sound if i != q and len(a) == len(b))
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(sound) if m != n and len(a) == len(b))
             want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:10], 1)]
     assert sorted(map(tuple, top_k(table, query_block=block).collect())) == sorted(want)
     assert top_k(table.limit(0)).count() == 0
@@ -120,3 +124,54 @@ def test_versions_tiers_and_conflicts(spark, docs):
     with pytest.raises(Conflict):
         table._commit(stale, docs.schema, [])
     assert table.vacuum() > 0 and table.read().count() == docs.where("doc_id is not null").count()
+
+
+def test_vacuum_between_write_and_commit(spark, docs):
+    """A file that a writer has written but not committed outlives another writer's vacuum; an abandoned one doesn't."""
+    table = ShardedTable(spark, new_path(spark, "shards"), target_bytes=1 << 20)
+    table.append(docs.where("doc_id % 2 = 0"))
+    base = table.manifest()
+    with table._intent() as name:
+        shards = table._written(docs.where("doc_id % 2 = 1"), name)
+        assert ShardedTable(spark, table.root).vacuum() == 0
+        table._commit(base, docs.schema, base["shards"] + shards)
+        assert table.vacuum() == 0
+    assert table.vacuum() == 0 and table.read().count() == docs.where("doc_id is not null").count()
+    with table._intent() as name:
+        table._written(docs, name)
+        assert table.vacuum() == 0 and table.vacuum(abandoned_s=-1) > 0
+    assert table.read().count() == docs.where("doc_id is not null").count()
+
+
+def test_merges_are_one_job_and_large_shards_are_cut(spark, docs):
+    table = ShardedTable(spark, new_path(spark, "shards"), target_bytes=20_000, fan_in=2)
+    for k in range(3):
+        table.append(docs.repartition(6))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None) or ())
+    groups = table._groups(table.manifest()["shards"], False)
+    start = jobs()
+    table._merged(groups[:1], docs.schema, "one")
+    one, start = jobs() - start, jobs()
+    made = table._merged(groups, docs.schema, "all")
+    assert len(groups) > 2 and jobs() - start <= one
+    assert sum(s["rows"] for s in made) == sum(s["rows"] for g in groups for s in g)
+    table.compact()
+    assert table.read().exceptAll(docs.union(docs).union(docs)).count() == 0 and table.read().count() == 3 * docs.count()
+    whole = ShardedTable(spark, new_path(spark, "shards"), target_bytes=10_000)
+    whole.append(docs.coalesce(1))
+    assert whole.manifest()["shards"][0]["bytes"] > 20_000
+    whole.compact()
+    assert len(whole.manifest()["shards"]) > 1 and whole.read().exceptAll(docs).count() == 0 and whole.read().count() == docs.count()
+
+
+@pytest.mark.parametrize("before", ["https://hooks.example.com/services/integration/incoming/", "session_identifier=", "the word is "])
+def test_random_keys_of_any_length(before):
+    """Random keys from 12 characters on are found behind paths and names; words, digests and identifiers aren't."""
+    rnd, path = random.Random(4), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for kind in (string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase + string.digits):
+        for n in (12, 14, 16, 19, 20, 32, 40):
+            keys = ["".join(rnd.choice(kind) for _ in range(n)) for _ in range(100)]
+            found = sum(any(len(before) >= a >= len(before) - 1 and b >= len(before) + n for a, _, b in secrets.dense_spans(f"{before}{k} and more", path)) for k in keys)
+            assert found >= 85
+    for clean in ("getElementsByTagName(documentIdentifier)", "long_name_of_a_thing_2024_final", "Donaudampfschifffahrtsgesellschaft", "550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "sha-" + "0123456789abcdef" * 4, "2024-01-02_03/04/05", "+49 0123456789012345", "internationalization/localization_of_interfaces"):
+        assert not secrets.dense_spans(before + clean, path), clean
