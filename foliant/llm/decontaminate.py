@@ -11,10 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foliant.llm.batches import by_text, whole_rows
 
@@ -110,13 +112,19 @@ def needed_for(known: dict[tuple[int, int], int], length: int, gram: int, max_ed
 class Index:
     """Grams of the items, for each length of grams in use."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float, target_recall: float, known: dict[tuple[int, int], int]):
+    def __init__(self, items: list[tuple[object, str]], max_edits: float, target_recall: float, known: dict[tuple[int, int], int], least_chars: int = LEAST_CHARS):
         self.items, self.max_edits = items, max_edits
         self.by_gram: dict[int, tuple] = {}
         #: Short items: pieces of which one at least is free of edits.
         self.short: dict[int, list[str]] = {}
+        #: Items too short for edits, which are looked for as they are, between ends of words.
+        self.exact = ahocorasick.Automaton()
         pieces: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        exact: dict[str, list[int]] = {}
         for i, (_, text) in enumerate(items):
+            if len(text) < least_chars:
+                exact.setdefault(text, []).append(i)
+                continue
             if len(text) < min(GRAMS):
                 self.short[i] = shares(text, int(max_edits * len(text)) + 1)
                 continue
@@ -124,6 +132,9 @@ class Index:
             for part in shares(text, math.ceil(len(text) / PIECE)):
                 pieces.setdefault(gram, []).append((i, base, symbols(part)))
                 base += len(part)
+        for text, own in exact.items():
+            self.exact.add_word(text, own)
+        self.exact.make_automaton()
         for gram, some in pieces.items():
             each = [grams(x, gram) for _, _, x in some]
             sizes = np.array([len(x) for x in each])
@@ -179,6 +190,12 @@ class Index:
     def matches(self, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """{(text, item): (distance, start, end)}, the least of the verified candidates."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, text in enumerate(texts if len(self.exact) else ()):
+            for last, own in self.exact.iter(text):
+                for i in own:
+                    start, end = last + 1 - len(self.items[i][1]), last + 1
+                    if (d, i) not in best and not text[start - 1 : start].isalnum() and not text[end : end + 1].isalnum():
+                        best[d, i] = 0, start, end
         places: list[list[int]] = []
         for d, i, start in sorted(self.candidates(texts)):
             # overlapping regions are searched as one
@@ -203,14 +220,14 @@ class Index:
         return best
 
 
-def item_blocks(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The normalised items in blocks of about half of ``block_chars``, one at a time on the driver."""
     asked = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * chars / block_chars))
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        items = sorted(((r["item"], t) for r in rows if len(t := normalised(r["text"])) >= least_chars), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        items = sorted(((r["item"], t) for r in rows if (t := normalised(r["text"]))), key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1]))
         if items:
             yield items
 
@@ -231,22 +248,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     An item matches where its edit distance to a passage is at most ``max_edits`` of its length; both are lower-cased and white
     space becomes one space, and match_start and match_end count in that form. Leaks with as many
     random edits as are allowed are found with ``target_recall`` at least, those with fewer more often; unedited ones always.
-    Null and empty texts match nothing, nor do items under ``least_chars`` characters. Repeated documents or items give one row a
-    pair of ids; null document and item ids are kept as ids. The items go out in blocks of at most ``block_chars`` characters (a longer
+    Null and empty texts match nothing; items under ``least_chars`` characters match where they stand unedited between ends of words. Repeated documents or items give one row a
+    pair of ids; ids of both kinds may be of any type that can be sorted, and null ones are kept as ids. Columns may have any names. The items go out in blocks of at most ``block_chars`` characters (a longer
     item is a block), one pass over the documents each, so nothing that is broadcast grows with the benchmark.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out_names = [id_col, item_col, "distance", "item_chars", "match_start", "match_end"]
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int, item_chars int, match_start long, match_end long"
-    found = None
-    for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col, least_chars=least_chars, block_chars=block_chars):
+    found, item_type = None, to_arrow_type(benchmark.schema[item_col].dataType)
+    for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col, block_chars=block_chars):
         shared = spark.sparkContext.broadcast((items, needs(items, max_edits, target_recall)))
         cache: dict[int, Index] = {}
 
         def work(part: pa.RecordBatch, texts: list[str], shared=shared, cache=cache) -> pa.RecordBatch | None:
             if 0 not in cache:
-                cache[0] = Index(shared.value[0], max_edits, target_recall, shared.value[1])
+                cache[0] = Index(shared.value[0], max_edits, target_recall, shared.value[1], least_chars)
             index = cache[0]
             got = index.matches([normalised(t) for t in texts])
             if not got:
@@ -254,7 +271,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
             pairs = sorted(got)
             ids = part.column("id").take(pa.array([d for d, _ in pairs]))
             spans = [got[p] for p in pairs]
-            columns = [ids, pa.array([index.items[i][0] for _, i in pairs], pa.int64()), pa.array([s[0] for s in spans], pa.int32()), pa.array([len(index.items[i][1]) for _, i in pairs], pa.int32()), pa.array([s[1] for s in spans], pa.int64()), pa.array([s[2] for s in spans], pa.int64())]
+            columns = [ids, pa.array([index.items[i][0] for _, i in pairs], item_type), pa.array([s[0] for s in spans], pa.int32()), pa.array([len(index.items[i][1]) for _, i in pairs], pa.int32()), pa.array([s[1] for s in spans], pa.int64()), pa.array([s[2] for s in spans], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, out_names)
 
         hits = by_text(docs, {"id": id_col}, text_col, work, schema, most=2_000_000)
@@ -266,7 +283,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no item lies; see ``find_leaks``. Rows are filtered where they are read."""
+    """The rows of ``docs``, with all their columns, in which no item lies; see ``find_leaks``. Rows are filtered where they are read.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table or benchmark changes nothing, columns may have any names.
+    """
     spark = docs.sparkSession
     for items in item_blocks(benchmark, item_col=item_col, item_text_col=item_text_col):
         shared = spark.sparkContext.broadcast((items, needs(items, max_edits, target_recall)))

@@ -207,3 +207,11 @@ def test_items_without_id(spark):
     b = spark.createDataFrame([(None, text), (4, "another passage of it that lies in no document at all")], "item_id long, text string")
     assert [tuple(r)[:3] for r in find_leaks(d, b).collect()] == [(1, None, 0)]
     assert [r["doc_id"] for r in without_leaks(d, b).collect()] == [2]
+
+
+def test_short_items_and_ids_of_other_types(spark):
+    d = spark.createDataFrame([("a", "He said 42 is  the Answer and left"), ("b", "the answers to 42 is nothing"), (None, "answer 42"), ("c", None)], "doc_id string, text string")
+    b = spark.createDataFrame([("mmlu/1", "the answer"), ("mmlu/2", "42"), (None, "a"), ("", "nothing of this is in any of the documents")], "item_id string, text string")
+    got = {tuple(r) for r in find_leaks(d, b).select("doc_id", "item_id", "distance", "match_start").collect()}
+    assert got == {("a", "mmlu/1", 0, 14), ("a", "mmlu/2", 0, 8), ("b", "mmlu/2", 0, 15), (None, "mmlu/2", 0, 7)}
+    assert [r["doc_id"] for r in without_leaks(d, b).collect()] == ["c"]
