@@ -14,7 +14,7 @@ from foliant.llm.packing_plan import plan
 from foliant.llm.tokens import byte_bpe_ids
 from foliant.shared import materialise
 
-CAPACITY, GROUPS, BLOCK_BITS = 2048, 48, 17
+CAPACITY, GROUPS, BLOCK_BITS = 2048, 400, 17
 
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -49,7 +49,7 @@ def assign_slots(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = G
 
     Only the histogram of lengths (at most ``capacity`` rows) goes to the driver. A row's rank among those of its length is
     the count in the blocks before its own plus its rank in the block; blocks are bounded, so a length that a third of the
-    rows share is spread over many tasks. The placements are runs whose number is bounded by the number of lengths (see ``packing_plan``), so they are broadcast.
+    rows share is spread over many tasks. The counts by block meet the rows as these are parted already. The placements are runs whose number is bounded by the number of lengths (see ``packing_plan``), so they are broadcast.
     """
     spark = pieces.sparkSession
     blocked = pieces.withColumn("block", F.shiftright("uid", BLOCK_BITS))
@@ -59,7 +59,7 @@ def assign_slots(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = G
     placed = spark.createDataFrame(runs, "at_length long, lo long, hi long, base long, first long, each long")
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    ranked = blocked.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("uid")) - 1).join(counts, ["length", "block"])
+    ranked = blocked.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("uid")) - 1).join(counts.hint("merge"), ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("ahead"))
     hit = ranked.join(F.broadcast(placed), (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")

@@ -63,8 +63,9 @@ def test_packing(docs, rows, none):
 
 def test_plan_is_whole_and_near_the_bound():
     rng = np.random.default_rng(1)
-    for spread in (40, 700, 2047):
-        h = {int(n): int(c) for n, c in zip(*np.unique(rng.integers(1, spread + 1, 4000), return_counts=True))}
+    for spread in (40, 700, 2047, 0):
+        sizes = rng.integers(1, spread + 1, 4000) if spread else np.minimum(2047, 1 + rng.lognormal(6.3, 0.8, 10_000)).astype(int)
+        h = {int(n): int(c) for n, c in zip(*np.unique(sizes, return_counts=True))}
         runs, bins = plan(h, 2048)
         placed, used = {}, {}
         assert len(runs) < 70_000
@@ -80,6 +81,9 @@ def test_plan_is_whole_and_near_the_bound():
                 at += n
             assert at <= 2048
         assert bins <= 1.02 * sum(n * c for n, c in h.items()) / 2048 + 1
+        if not spread:  # like documents: each cut for itself is near the bound
+            for cut in (2048 // 3, 2048 // 2):
+                assert plan(h, 2048, cuts=(cut,))[1] <= 1.002 * sum(n * c for n, c in h.items()) / 2048 + 1
     assert plan({}, 2048) == ([], 0)
 
 
