@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliant.llm.batches import by_text, whole_rows
 
 PASSAGE_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, THRESHOLD, HIDDEN, GATES, EPOCHS = 512, 4000, 48_000_000, 0.7, 16, 8, 40
+UNIT_BYTES = 512 * PASSAGE_BYTES
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _FINE = np.full(256, 6, np.int64)
 _COARSE = np.full(256, 5, np.int64)
@@ -29,8 +30,27 @@ def held_out(id_col: str) -> Column:
 
 
 def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all passages, passages per text). Passages are consecutive and cover the whole text; an empty text is one."""
-    raws = [t.encode() for t in texts]
+    """(features of all passages, passages per text). Passages are consecutive and cover the whole text; an empty text is one.
+
+    Passages don't depend on each other, so they are worked on ``UNIT_BYTES`` at a time, whatever the texts' sizes.
+    """
+    parts, held, out, per = [], 0, [], []
+    for text in texts:
+        raw = text.encode()
+        per.append(max(1, -(-len(raw) // PASSAGE_BYTES)))
+        for at in range(0, max(1, len(raw)), UNIT_BYTES):
+            parts.append(raw[at : at + UNIT_BYTES])
+            held += len(parts[-1])
+            if held >= UNIT_BYTES:
+                out.append(_features(parts))
+                parts, held = [], 0
+    if parts:
+        out.append(_features(parts))
+    return np.concatenate([*out, np.zeros((0, WIDTH), np.float32)]), np.array(per, np.int64)
+
+
+def _features(raws: list[bytes]) -> np.ndarray:
+    """Features of the passages of all ``raws``, an empty one being one passage."""
     sizes = np.array([len(r) for r in raws], np.int64)
     per = np.maximum(1, -(-sizes // PASSAGE_BYTES))
     total, data = int(per.sum()), np.frombuffer(b"".join(raws), np.uint8)
@@ -56,7 +76,7 @@ def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             part = raw[i : i + PASSAGE_BYTES]
             rest[k] = len(zlib.compress(part, 1)) / (len(part) + 16), len(part) / PASSAGE_BYTES
             k += 1
-    return np.concatenate([fine, coarse, pairs, rest], 1).astype(np.float32), per
+    return np.concatenate([fine, coarse, pairs, rest], 1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
