@@ -112,6 +112,16 @@ def dominance(r: Rect) -> tuple[Column, ...]:
     return -r.x, -r.y, r.right, r.bottom
 
 
+#: From how many times as high as wide a component is a rule that doesn't count among the heights of a page.
+TALL_TIMES = 50
+
+
+def tall_rect(width: Column | str = "width", height: Column | str = "height") -> Column:
+    """Whether a rectangle is at least fifty times as high as wide, in whole numbers."""
+    w, h = (F.col(c) if isinstance(c, str) else c for c in (width, height))
+    return F.floor(h / w) >= TALL_TIMES
+
+
 def elongated(width="width", height="height", times: int = 25) -> Column:
     return (_c(width) > times * _c(height)) | (_c(height) > times * _c(width))
 

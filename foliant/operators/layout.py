@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.geometry import scale
+from foliant.functions.geometry import TALL_TIMES, scale
+from foliant.operators.graph import union_find
 from foliant.operators.lines import paragraphs
 from foliant.shared import materialise
 
@@ -206,55 +209,96 @@ def simple_flow(glyphs: DataFrame, page_width: int, *, indent: int = 30) -> Data
     return glyphs.select("page_id", F.col("seq").cast("long").alias("seq"), F.col("width").cast("long").alias("width"), "indented").groupBy("page_id").applyInArrow(run, "page_id long, seq long, line long, left long")
 
 
-def xycut(image: np.ndarray, most_leaves: int = 20) -> list[dict]:
-    """The cut tree of a binary page: white columns and rows, in turn, at least as wide as the least widest one met, less one.
+def closed(image: np.ndarray) -> np.ndarray:
+    """Dilation, then erosion, by three by three pixels; beyond the page's edge nothing is dilated and nothing eroded."""
+    wide = np.pad(image, 1)
+    grown = np.any([wide[1 + i : 1 + i + image.shape[0], 1 + j : 1 + j + image.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
+    wide = np.pad(grown, 1, constant_values=True)
+    return np.all([wide[1 + i : 1 + i + image.shape[0], 1 + j : 1 + j + image.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
+
+
+def component_boxes(image: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(x, y, width, height) of the 8-connected components of a binary page."""
+    edge = np.diff(np.pad(image.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, x0 = np.nonzero(edge == 1)
+    x1 = np.nonzero(edge == -1)[1] - 1
+    rows = np.searchsorted(y, np.arange(image.shape[0] + 1))
+    src, dst = list(range(len(y))), list(range(len(y)))
+    for top in range(image.shape[0] - 1):
+        i, j, ends = rows[top], rows[top + 1], (rows[top + 1], rows[top + 2])
+        while i < ends[0] and j < ends[1]:
+            if x0[j] <= x1[i] + 1 and x1[j] >= x0[i] - 1:
+                src.append(int(i))
+                dst.append(int(j))
+            i, j = (i + 1, j) if x1[i] < x1[j] else (i, j + 1)
+    ids, roots = union_find(src, dst)
+    boxes: dict[int, list[int]] = {}
+    for i, root in zip(ids, roots):
+        box = boxes.setdefault(root, [int(x0[i]), int(y[i]), int(x1[i]), int(y[i])])
+        box[:] = min(box[0], int(x0[i])), min(box[1], int(y[i])), max(box[2], int(x1[i])), max(box[3], int(y[i]))
+    return [(a, b, c - a + 1, d - b + 1) for a, b, c, d in boxes.values()]
 
-    A first pass finds the widest gap at every cut; the second cuts wherever a gap reaches the least of them less one. With more
-    leaves than ``most_leaves`` the page is one leaf.
-    """
 
-    def gaps(box, axis):
-        x, y, w, h = box
-        full = np.flatnonzero(image[y : y + h, x : x + w].any(axis=axis))
-        if not len(full):
-            return None, []
-        inner = np.flatnonzero(np.diff(full) > 1)
-        return (int(full[0]), int(full[-1]) + 1), [(int(full[i]) + 1, int(full[i + 1])) for i in inner]
-
-    def halves(box, axis, least):
-        ends, found = gaps(box, axis)
-        found = [g for g in found if g[1] - g[0] >= least]
-        if not found:
-            return None, None
-        a, b = max(found, key=lambda g: (g[1] - g[0], -g[0]))
+def xycut(image: np.ndarray, most_leaves: int = 20) -> list[dict]:
+    """The cut tree of a binary page along its white columns and rows.
+
+    The page is closed, components at least fifty times as high as wide are taken out, and white borders (with the last column and
+    row) are trimmed. A first pass cuts at gaps whose ends are further apart than the components' mean height; the least
+    of these distances less one is what a second pass, which builds the tree, asks of a gap. Both take the widest gap, the first of
+    equals. Of a cut by columns the left part goes on by rows and the right part by columns; of a cut by rows the upper part by columns,
+    the lower by rows; a part that can't be cut one way is tried the other way once. The right and lower parts begin with
+    the gap's last line. Parts no higher than the mean height or a pixel wide are dropped. The first pass cuts by rows, the second by columns, only
+    what is wider than half the page. Without a cut, or with more than ``most_leaves`` leaves, the page is one leaf.
+    """
+    height, width = image.shape
+    page = [{"node_id": 0, "parent_id": -1, "side": "root", "x": 0, "y": 0, "w": width, "h": height, "leaf": True}]
+    ink = closed(image)
+    boxes = component_boxes(ink)
+    for x, y, w, h in boxes:
+        if h // w >= TALL_TIMES:
+            ink[y : y + h, x : x + w] = False
+    heights = [h for _, _, w, h in boxes if h // w < TALL_TIMES]
+    if not heights or not ink.any():
+        return page
+    least = int(sum(heights) / len(heights))
+    across, down = np.flatnonzero(ink.any(axis=0)), np.flatnonzero(ink.any(axis=1))
+    root = (int(across[0]), int(down[0]), int(across[-1] - across[0]), int(down[-1] - down[0]))
+
+    def widest_gap(box: tuple, axis: int, over: int) -> tuple[int, int] | None:
         x, y, w, h = box
-        parts = ((x, y, a, h), (x + b, y, w - b, h)) if axis == 0 else ((x, y, w, a), (x, y + b, w, h - b))
-        return b - a, parts
-
-    def widths(box, axis, tried, depth):
-        size, parts = halves(box, axis, 1)
-        if not parts:
-            return [] if tried else widths(box, 1 - axis, True, depth)
-        return [size] if depth > 3 else [size, *(v for p in parts for v in widths(p, 1 - axis, False, depth + 1))]
-
-    h, w = image.shape
-    found = widths((0, 0, w, h), 0, False, 0)
-    least = max(1, min(found, default=1) - 1)
-    nodes: list[dict] = []
-
-    def cut(box, axis, parent, side, tried):
-        size, parts = halves(box, axis, least)
-        if not parts and not tried:
-            return cut(box, 1 - axis, parent, side, True)
-        node = len(nodes)
-        nodes.append({"node_id": node, "parent_id": parent, "side": side, "x": box[0], "y": box[1], "w": box[2], "h": box[3], "leaf": not parts})
-        for p, s in zip(parts or (), ("first", "second")):
-            cut(p, 1 - axis, node, s, False)
-
-    cut((0, 0, w, h), 0, -1, "root", False)
-    if sum(n["leaf"] for n in nodes) > most_leaves:
-        return [{"node_id": 0, "parent_id": -1, "side": "root", "x": 0, "y": 0, "w": w, "h": h, "leaf": True}]
-    return nodes
+        full = ink[y : y + h, x : x + w].any(axis=axis)
+        ends = np.flatnonzero(np.diff(np.r_[True, full, True].astype(np.int8)))
+        gaps = [(int(a), int(b) - 1) for a, b in zip(ends[::2], ends[1::2]) if b - 1 - a > over]
+        return max(gaps, key=lambda g: (g[1] - g[0], -g[0]), default=None)
+
+    def walk(over: int, narrow_axis: int) -> Iterator[tuple]:
+        """(gap, [(parent, side, box)]) of every cut, with positions in the order of making as parents."""
+        made, todo = 1, [(0, root, 0, 0)]
+        while todo:
+            node, box, axis, tried = todo.pop()
+            if tried == 3 or not box[2] or not box[3]:
+                continue
+            gap = widest_gap(box, axis, over)
+            if gap is None or (axis == narrow_axis and box[2] <= width // 2):
+                todo.append((node, box, 1 - axis, tried + 1))
+                continue
+            x, y, w, h = box
+            parts = ((x, y, gap[0], h), (x + gap[1], y, w - gap[1], h)) if axis == 0 else ((x, y, w, gap[0]), (x, y + gap[1], w, h - gap[1]))
+            kept = [(node, side, p) for side, p in zip(("first", "second"), parts) if p[3] > least and p[2] > 1]
+            yield gap, kept
+            for n, (_, side, p) in enumerate(kept):
+                todo.append((made + n, p, 1 - axis if side == "first" else axis, 1))
+            made += len(kept)
+
+    sizes = [b - a for (a, b), _ in walk(least, 1)]
+    if not sizes:
+        return page
+    nodes = [dict(page[0], x=root[0], y=root[1], w=root[2], h=root[3])]
+    for _, kept in walk(min(sizes) - 1, 0):
+        for parent, side, (x, y, w, h) in kept:
+            nodes[parent]["leaf"] = False
+            nodes.append({"node_id": len(nodes), "parent_id": parent, "side": side, "x": x, "y": y, "w": w, "h": h, "leaf": True})
+    return page if sum(n["leaf"] for n in nodes) > most_leaves else nodes
 
 
 def cut_trees(runs: DataFrame, most_leaves: int = 20) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.graph import page_components, union_find
+from foliant.operators.intervals import interval_join
 
-ORDER = ("y", "x0", "x1")
+ORDER, CELL = ("y", "x0", "x1"), 64
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -23,12 +24,13 @@ def merged(runs: DataFrame) -> DataFrame:
 def components(runs: DataFrame) -> DataFrame:
     """(page_id, comp_id, x, y, width, height, area) of the 8-connected components of maximal runs; comp_id counts from the top.
 
-    Runs meet only those of the next row, by an equality join on it, and the boxes are one aggregate.
+    Runs meet only those of the next row in the same cells, by an equality join, and the boxes are one aggregate.
     """
     ids = runs.withColumn("id", F.row_number().over(Window.partitionBy("page_id").orderBy(*ORDER)).cast("long"))
     a = ids.select("page_id", F.col("y").alias("ay"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("src"))
     b = ids.select("page_id", (F.col("y") - 1).alias("ay"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("dst"))
-    edges = a.join(b, ["page_id", "ay"]).where("b0 <= a1 + 1 and b1 >= a0 - 1").select("page_id", "src", "dst")
+    near = a.withColumns({"a0": F.col("a0") - 1, "a1": F.col("a1") + 1})
+    edges = interval_join(near, b, ["page_id", "ay"], ("a0", "a1"), ("b0", "b1"), CELL).select("page_id", "src", "dst")
     whole = ids.join(page_components(ids, edges, ["page_id"]), ["page_id", "id"])
     boxes = whole.groupBy("page_id", "component").agg(F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
     return boxes.withColumn("comp_id", F.row_number().over(Window.partitionBy("page_id").orderBy("component"))).drop("component").select("page_id", "comp_id", "x", "y", "width", "height", "area")
@@ -77,9 +79,14 @@ def trim(runs: DataFrame) -> DataFrame:
 
 
 def mask(runs: DataFrame, rects: DataFrame) -> DataFrame:
-    """Runs without the pixels of rectangles (page_id, x, y, width, height): each run less the union of what covers it."""
+    """Runs without the pixels of rectangles (page_id, x, y, width, height): each run less the union of what covers it.
+
+    Runs and the rows of rectangles meet in cells of a row, so a row never meets itself as a whole.
+    """
     rows = rects.select("page_id", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).alias("y"), F.col("x").alias("m0"), (F.col("x") + F.col("width") - 1).alias("m1"))
-    grouped = runs.join(rows, ["page_id", "y"], "left").groupBy("page_id", *ORDER).agg(F.array_sort(F.collect_list(F.struct("m0", "m1"))).alias("ms"))
+    over = interval_join(runs, rows, ["page_id", "y"], ("x0", "x1"), ("m0", "m1"), CELL)
+    met = over.groupBy("page_id", *ORDER).agg(F.array_sort(F.collect_set(F.struct("m0", "m1"))).alias("ms"))
+    grouped = runs.join(met, ["page_id", *ORDER], "left").withColumn("ms", F.coalesce("ms", F.array().cast("array<struct<m0:int,m1:int>>")))
     piece = "array<struct<a:int,b:int>>"
 
     def step(acc, m):
@@ -117,9 +124,11 @@ def close(runs: DataFrame) -> DataFrame:
 
 def fill_ratio(runs: DataFrame, rects: DataFrame, id_col: str) -> DataFrame:
     """(page_id, id, ratio): the foreground's share of each rectangle."""
-    rows = rects.select("page_id", id_col, (F.col("width") * F.col("height")).alias("_area"), F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).alias("y"), F.col("x").alias("_m0"), (F.col("x") + F.col("width") - 1).alias("_m1"))
-    part = F.when(F.col("x0").isNotNull(), F.greatest(F.lit(0), F.least("x1", "_m1") - F.greatest("x0", "_m0") + 1))
-    return rows.join(runs, ["page_id", "y"], "left").groupBy("page_id", id_col).agg((F.sum(F.coalesce(part, F.lit(0))) / F.first("_area").cast("double")).alias("ratio"))
+    rows = rects.select("page_id", id_col, F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).alias("y"), F.col("x").alias("_m0"), (F.col("x") + F.col("width") - 1).alias("_m1"))
+    part = F.least("x1", "_m1") - F.greatest("x0", "_m0") + 1
+    held = interval_join(rows.select("page_id", id_col, "y", "_m0", "_m1"), runs, ["page_id", "y"], ("_m0", "_m1"), ("x0", "x1"), CELL).groupBy("page_id", id_col).agg(F.sum(part).alias("_held"))
+    whole = rects.select("page_id", id_col, (F.col("width") * F.col("height")).cast("double").alias("_area"))
+    return whole.join(held, ["page_id", id_col], "left").select("page_id", id_col, (F.coalesce("_held", F.lit(0)) / F.col("_area")).alias("ratio"))
 
 
 def side_margin(rects: DataFrame, width: Column | str, share: float = 0.03) -> Column:

@@ -101,7 +101,8 @@ def _(spark, d):
 
 @query("l10_xycut", "page_id:l node_id:l parent_id:l side:s x:l y:l w:l h:l leaf:b")
 def _(spark, d):
-    return layout.cut_trees(src.runs_of(bench(spark, d)), 200)
+    """Two columns, and space after every fifth line."""
+    return layout.cut_trees(src.runs_of(src.spaced(bench(spark, d))))
 
 
 @query("stream_words", "page_id:l line_id:l word_id:l x:l y:l width:l height:l", f"WITH {WORDS} SELECT page_id, line_id, word_id, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM words GROUP BY page_id, line_id, word_id")

@@ -36,8 +36,8 @@ def lined(g):
     return g.withColumn("line_id", F.col("line_no"))
 
 
-def pictured(spark, d):
-    return src.with_picture(bench(spark, d))
+def pictured(spark, d, below=2):
+    return src.with_picture(bench(spark, d), below)
 
 
 def framed(spark, d):

@@ -81,7 +81,8 @@ def glyphs_by_projection(runs: DataFrame, limits: DataFrame, widths: DataFrame)
     ends = limits.select("page_id", "line_id", "upper", "lower", F.explode(F.sequence(F.col("upper"), F.col("lower") - 1)).alias("y"))
     inside = runs.join(ends, ["page_id", "y"])
     letters = raster.one_runs(raster.column_profile(inside, ("page_id", "line_id")), keys, "x").withColumn("width", F.col("last") - F.col("first"))
-    top = inside.join(letters, keys).where("x0 < last and x1 >= first").groupBy(*keys, "run", "upper", "lower", "first", "last", "width").agg(F.min("y").alias("y"))
+    cut = letters.where("first < last").withColumn("_l", F.col("last") - 1)
+    top = intervals.interval_join(inside, cut.drop("upper", "lower"), keys, ("x0", "x1"), ("first", "_l"), raster.CELL).groupBy(*keys, "run", "upper", "lower", "first", "last", "width").agg(F.min("y").alias("y"))
     page = letters.groupBy(*keys).agg(F.min("first").alias("left_x"))
     indents = lines.left_indents(page.join(widths, "page_id")).select("page_id", "line_id", "indent")
     rows = top.join(indents, keys).join(widths, "page_id").withColumnRenamed("first", "x")

@@ -38,10 +38,10 @@ def with_frames(glyphs: DataFrame) -> DataFrame:
     return glyphs.select(*frames.columns).union(frames)
 
 
-def with_picture(glyphs: DataFrame) -> DataFrame:
-    """Also a picture below the last line and a caption of ten boxes close under it."""
+def with_picture(glyphs: DataFrame, below: int = 2) -> DataFrame:
+    """Also a picture ``below`` so many lines after the last one and a caption of ten boxes close under it."""
     ends = glyphs.groupBy("page_id").agg(F.count("*").cast("int").alias("n"), F.max("line_no").alias("last"))
-    top = 24 * (F.col("last") + 2)
+    top = 24 * (F.col("last") + below)
     picture = ends.select("page_id", F.col("n").alias("glyph_id"), F.lit(0).alias("x"), top.alias("y"), F.lit(480).alias("width"), F.lit(240).alias("height"))
     caption = ends.select("page_id", "n", top.alias("y"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("page_id", (F.col("n") + 1 + F.col("i")).alias("glyph_id"), (12 * F.col("i")).alias("x"), (F.col("y") + 246).alias("y"), F.lit(8).alias("width"), F.lit(12).alias("height"))
     return glyphs.select(*picture.columns).union(picture).union(caption)
@@ -52,6 +52,12 @@ def indented(glyphs: DataFrame) -> DataFrame:
     return glyphs.withColumn("x", F.col("x") + F.when(F.col("line_no") % 5 == 0, 36).otherwise(0))
 
 
+def spaced(glyphs: DataFrame) -> DataFrame:
+    """The right half of the columns moved right by 200 pixels, and space of 40 pixels after every fifth line."""
+    right = F.when(F.col("col_no") >= COLUMNS // 2, 200).otherwise(0)
+    return glyphs.withColumns({"x": F.col("x") + right, "y": F.col("y") + 40 * F.floor(F.col("line_no") / 5).cast("int")})
+
+
 def runs_of(glyphs: DataFrame) -> DataFrame:
     """The rows of pixels of every box: (page_id, y, x0, x1), both ends inclusive."""
     return glyphs.select("page_id", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).alias("y"), F.col("x").alias("x0"), (F.col("x") + F.col("width") - 1).alias("x1"))

@@ -155,7 +155,7 @@ def test_captions(spark):
     picture, caption = (0, 200, 300, 150), [(12 * c, 356, 8, 12) for c in range(10)]
     g = boxes(spark, [*text, picture, *caption], text[:5])
     found_ = captions.detect_captions(g)
-    assert {(r["page_id"], r["picture"]) for r in found_.collect()} <= {(0, len(text))}
+    assert found(found_, "page_id", "glyph_id", "picture") == [(0, len(text) + 1 + i, len(text)) for i in range(10)]
     owned = spark.createDataFrame([(0, len(text) + 1 + i, len(text)) for i in range(10)], "page_id long, glyph_id int, picture int")
     grown = captions.attach_captions(g, owned)
     assert found(grown.where("is_picture"), "page_id", *SIDES) == [(0, 0, 200, 300, 168)]
@@ -235,11 +235,43 @@ def test_picture_cursor(spark):
 
 
 def test_xycut():
-    page = np.zeros((60, 100), bool)
-    page[5:50, 5:40] = page[5:20, 60:95] = page[40:50, 60:95] = True
-    leaves = [(n["x"], n["y"], n["w"], n["h"]) for n in layout.xycut(page) if n["leaf"]]
-    assert len(leaves) == 3 and sum(page[y : y + h, x : x + w].sum() for x, y, w, h in leaves) == page.sum()
-    assert len(layout.xycut(page, 2)) == 1
+    """Worked out by hand: the mean height is 10; the first pass takes the gap of 64 columns only, as both parts are too narrow for cuts by rows."""
+    page = np.zeros((80, 120), bool)
+    for y, x in ((5, 5), (35, 5), (5, 90), (21, 90)):
+        page[y : y + 10, x : x + 20] = True
+    # trimmed to x 5..108, y 5..43; columns 25..89 are white, ends 64 apart; the second pass asks for over 63, so nothing else is cut
+    got = layout.xycut(page)
+    boxes = [(n["parent_id"], n["side"], n["x"], n["y"], n["w"], n["h"], n["leaf"]) for n in got]
+    assert boxes == [(-1, "root", 5, 5, 104, 39, False), (0, "first", 5, 5, 20, 39, True), (0, "second", 89, 5, 20, 39, True)]
+    assert [n["w"] for n in layout.xycut(page, 1)] == [120]
+    wide = np.zeros((120, 100), bool)
+    for y in (5, 40, 90):
+        wide[y : y + 20, 5:95] = True
+    # mean height 20; rows 60..89 are white, 29 apart, the rest above has rows 25..39, 14 apart, which isn't over 20; second pass: over 28
+    boxes = [(n["side"], n["x"], n["y"], n["w"], n["h"], n["leaf"]) for n in layout.xycut(wide)]
+    assert boxes == [("root", 5, 5, 89, 104, False), ("first", 5, 5, 89, 55, True)]
+    tall = page.copy()
+    tall[2:78, 60] = True
+    assert [(n["x"], n["w"]) for n in layout.xycut(tall)] == [(n["x"], n["w"]) for n in got]
+    assert len(layout.xycut(np.zeros((9, 9), bool))) == 1 and len(layout.xycut(np.ones((9, 9), bool))) == 1
+    assert sorted(layout.component_boxes(page)) == [(5, 5, 20, 10), (5, 35, 20, 10), (90, 5, 20, 10), (90, 21, 20, 10)]
+
+
+def test_component_boxes_by_flooding():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        page = rng.random((25, 30)) < 0.3
+        todo, want = {(int(y), int(x)) for y, x in zip(*np.nonzero(page))}, []
+        while todo:
+            own, edge = set(), [todo.pop()]
+            while edge:
+                y, x = edge.pop()
+                own.add((y, x))
+                edge += [p for p in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if p in todo]
+                todo -= set(edge)
+            ys, xs = zip(*own)
+            want.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1))
+        assert sorted(layout.component_boxes(page)) == sorted(want)
 
 
 def test_order_of_rows_does_not_matter(spark):
