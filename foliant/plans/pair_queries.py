@@ -204,9 +204,12 @@ def _(spark, d):
     return pages.rects_with_captions(_components(pictured(spark, d, 42)))
 
 
-@query("get_ordered_glyphs", "page_id:l line_id:l word_id:l pos:l x:l y:l width:l height:l shift:l lower:d")
+TEXT_KEPT = ORDERED.replace(B, KEPT + ", gz AS (SELECT g.* FROM g JOIN gk USING (page_id, glyph_id) WHERE NOT own)").replace("FROM g WINDOW l", "FROM gz WINDOW l")
+
+
+@query("get_ordered_glyphs", "page_id:l line_id:l word_id:l pos:l x:l y:l width:l height:l shift:l lower:d", f"WITH {TEXT_KEPT}")
 def _(spark, d):
-    return pages.ordered_glyphs(_components(pictured(spark, d)))
+    return pages.ordered_glyphs(_components(pictured(spark, d, 42)))
 
 
 @query("line_limits", "page_id:l line_id:l upper:l upper_baseline:l lower_baseline:l lower:l")
