@@ -60,6 +60,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage, so that Spark deletes the shuffle files of jobs whose results are written."""
+    spark._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files behind a table of ``materialise`` that no later step reads."""
     for name in df.inputFiles()[:1]:
