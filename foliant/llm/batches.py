@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,13 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 2_000_000
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def cut(batch: pa.RecordBatch, sizes: list[int | None], most: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices whose ``sizes`` come to ``most`` at most, one row at least."""
     start = held = 0
@@ -44,6 +53,7 @@ def whole_rows(docs: DataFrame, text_col: str, work: Callable, most: int = SLICE
     def run(batches):
         for part in byte_slices(batches, at, most):
             yield work(part, [x or "" for x in part.column(at).to_pylist()])
+        give_back()
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
@@ -58,5 +68,6 @@ def by_text(docs: DataFrame, keys: dict[str, Column | str], text: Column | str,
             out = work(part, texts)
             if out is not None:
                 yield out
+        give_back()
 
     return source.mapInArrow(run, schema)

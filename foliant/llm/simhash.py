@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from foliant.llm.batches import by_text
+from foliant.llm.batches import by_text, give_back
 from foliant.operators.graph import star_components
-from foliant.shared import materialise, remove
+from foliant.shared import materialise, release, remove
 
 SEED, RECALL, BROADCAST_ROWS = 42, 0.98, 1_000_000
 _ODD = 0x9E3779B97F4A7C15
@@ -102,11 +102,11 @@ def differing(similarity: float) -> float:
 def search_plan(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     """(width, count) of segments looked up at radius 1 so that a pair of this similarity meets with probability ``recall``.
 
-    The width follows the number of rows, so that a bucket holds an eighth of a stranger on average whatever the size; what a
-    wider segment loses is made up by more of them.
+    The width follows the number of rows, so that the strangers met by a lookup stay as few whatever the size, one or two
+    a bucket on average, which are told by ``peek`` where they meet; what a wider segment loses is made up by more of them.
     """
     p = differing(similarity)
-    width = min(38, max(16, math.ceil(math.log2(max(2, rows))) + 3))
+    width = min(38, max(10, math.ceil(math.log2(max(2, rows))) - 1))
     hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     return width, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -120,7 +120,7 @@ def keys_of(prints: DataFrame, lanes: int, cuts: list[np.ndarray], radius: list[
     """(key, node, comp, peek): each fingerprint (node, fp, comp) under the value of each of its segments.
 
     With ``radius`` also under what it looks up: at radius 1 its segment with one of its set bits cleared. Of two segments that
-    differ in one bit, one has that bit set and finds the other. ``peek``: positions of up to 32 bits that go along, so
+    differ in one bit, one has that bit set and finds the other. ``peek``: positions of 64 bits that go along, so
     that most strangers in a bucket are told before anything of them is shuffled.
     """
 
@@ -130,7 +130,7 @@ def keys_of(prints: DataFrame, lanes: int, cuts: list[np.ndarray], radius: list[
                 part = batch.slice(start, 1000)
                 bits = _bits(part.column("fp"), lanes)
                 node, comp = (part.column(c).to_numpy() for c in ("node", "comp"))
-                some = (bits[:, peek].astype(np.int64) @ (1 << np.arange(len(peek), dtype=np.int64))).astype(np.uint32).view(np.int32)
+                some = np.ascontiguousarray(np.packbits(bits[:, peek], axis=1, bitorder="little")).view(np.int64).ravel()
                 keys, at = [], []
                 for i, cut in enumerate(cuts):
                     power = np.int64(1) << np.arange(len(cut), dtype=np.int64)
@@ -141,10 +141,13 @@ def keys_of(prints: DataFrame, lanes: int, cuts: list[np.ndarray], radius: list[
                         row, bit = np.nonzero(bits[:, cut])
                         keys.append(own[row] - power[bit])
                         at.append(row)
-                at = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[at]), pa.array(comp[at]), pa.array(some[at])], ["key", "node", "comp", "peek"])
+                # a fingerprint's rows follow each other, which compresses what they share
+                order = np.argsort(at := np.concatenate(at), kind="stable")
+                at = at[order]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)[order]), pa.array(node[at]), pa.array(comp[at]), pa.array(some[at])], ["key", "node", "comp", "peek"])
+        give_back()
 
-    return prints.select("node", "fp", "comp").mapInArrow(run, "key long, node long, comp long, peek int")
+    return prints.select("node", "fp", "comp").mapInArrow(run, "key long, node long, comp long, peek long")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) -> DataFrame:
@@ -154,32 +157,35 @@ def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) ->
     return pairs.distinct().join(left, "u").join(right, "v").where(distance("a", "b", lanes) <= max_bits).select("u", "v")
 
 
-def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: list[int], max_bits: int, peek_bits: int = 32, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: list[int], max_bits: int, peek_bits: int = 64, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(vertex, component) of distinct fingerprints (node long, fp) that have a link, in two rounds.
 
     First every fingerprint is compared with the least one of each of its buckets, which costs a row a segment and joins dense
     families. Then all lookups are made, but only across the components found: links inside a component change nothing. So
-    a bucket that a third of all rows share costs a row each if they are alike. Rows carry numbers and 32 of the bits, of which
-    ``peek_bits`` at most may differ (32: any); fingerprints are joined to the candidates. ``check`` leaves of the pairs (u, v)
+    a bucket that a third of all rows share costs a row each if they are alike. Rows carry numbers and 64 of the bits, of which
+    ``peek_bits`` at most may differ (64: any); fingerprints are joined to the candidates. ``check`` leaves of the pairs (u, v)
     within ``max_bits`` those that are links.
     """
     check = check or (lambda pairs: pairs)
-    peek = np.arange(32) * (64 * lanes // 32)
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit(0xFFFFFFFF))) <= peek_bits
+    spark, peek = prints.sparkSession, np.arange(64) * lanes
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= peek_bits
     table = keys_of(prints.withColumn("comp", F.col("node")), lanes, cuts, None, peek)
     least = table.groupBy("key").agg(F.min(F.struct("node", "peek")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.node").alias("v"), F.col("m.peek").alias("p"))
     pairs = table.join(least, "key").where("node <> v").where(close("peek", "p")).select(F.col("node").alias("u"), "v")
     edges = materialise(check(verified(pairs, prints, lanes, max_bits)), "links")
+    release(spark)
     first = star_components(edges).select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
     known = materialise(prints.join(first, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "prints")
     side = keys_of(known, lanes, cuts, None, peek).select("key", F.col("node").alias("v"), F.col("comp").alias("other"), F.col("peek").alias("p"))
     met = side.groupBy("key", "other").agg(F.min("v").alias("v"), F.min("p").alias("p"), F.count("*").alias("n"))
     across = keys_of(known, lanes, cuts, radius, peek).join(met, "key").where("comp <> other").where((F.col("n") > 1) | close("peek", "p"))
     across = materialise(across.select("key", "node", "peek", "other", "v", "n"), "across")
+    release(spark)
     single = across.where("n = 1").select(F.col("node").alias("u"), "v")
     several = across.where("n > 1").drop("v", "n").join(side, ["key", "other"]).where(close("peek", "p")).select(F.col("node").alias("u"), "v")
     found = materialise(check(verified(single.union(several), known, lanes, max_bits)), "links")
     remove(across)
+    release(spark)
     return star_components(edges.union(found))
 
 
@@ -234,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         most = lambda bits: math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
         names = nodes.select(F.col("node").alias("key"), "least")
         check = lambda pairs: similar(pairs, texts, names, shingle_words, similarity)
-        groups = linked(nodes.select("node", "fp"), lanes=lanes, cuts=segments(64 * lanes, width, count), radius=[1] * count, max_bits=most(64 * lanes), peek_bits=most(32), check=check)
+        groups = linked(nodes.select("node", "fp"), lanes=lanes, cuts=segments(64 * lanes, width, count), radius=[1] * count, max_bits=most(64 * lanes), peek_bits=most(64), check=check)
     named = nodes.join(groups.withColumnRenamed("vertex", "node"), "node", "left").select("fp", "least", "copies", F.coalesce("component", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = materialise(named.select("fp", "copies", "comp").join(least, "comp").drop("comp"), "named")
