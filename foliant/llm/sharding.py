@@ -210,12 +210,13 @@ class ShardedTable:
         todo.mapInArrow(merge, "n int").collect()
         return self._measured(f"{self.root}/data/{name}")
 
-    def compact(self, *, everything: bool = False) -> int:
+    def compact(self, *, everything: bool = False, drop: bool = False) -> int:
         """Merge tiers that hold ``fan_in`` runs or more, again and again, and commit once. ``everything``: small rests too.
 
         A group is one file of about the target size, written by one task that streams through its shards, so memory is bounded
         by a few thousand rows and a row group; shards over twice the target are cut. A round is one job for any number of groups. If nothing
-        is to be merged, the version stays.
+        is to be merged, the version stays. ``drop``: delete what was replaced after the commit, for tables whose earlier versions
+        nobody reads; files of other writers are never touched.
         """
         base = self.manifest()
         if not base["version"]:
@@ -224,14 +225,19 @@ class ShardedTable:
         if not self._groups(shards, everything):
             return base["version"]
         with self._intent() as name:
-            turn = 0
+            turn, replaced_paths, named = 0, [], {s["path"] for s in shards}
             while groups := self._groups(shards, everything):
                 made = self._merged(groups, schema, f"{name}/{turn}")
                 gone = {s["path"] for g in groups for s in g}
+                replaced_paths += gone
                 shards, turn = [s for s in shards if s["path"] not in gone] + made, turn + 1
                 if everything:
                     break
-            return self._commit(base, schema, shards)
+            version = self._commit(base, schema, shards)
+            for path in replaced_paths:
+                if drop or path not in named:  # what no manifest has named goes in any case
+                    self.fs.delete(self._path(path), False)
+            return version
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; shards are read as they are named, never by listing a folder."""
@@ -284,16 +290,15 @@ def shard_documents(docs: DataFrame, root: str, *, arrivals: int = 4, target_byt
     """``docs`` as a compacted sharded table.
 
     The rows arrive in ``arrivals`` appends (by a hash of the whole row, so any key may be hot), each followed by a compaction of the
-    tiers that are full; at the end the rests are merged and, when all is committed, what was replaced is deleted. All rows and
-    columns are kept as they are: nulls, repeated rows, texts of any length. An empty table gives a committed version without shards.
+    tiers that are full, which deletes what it replaced; at the end the rests are merged. The table is this call's own until it
+    returns. All rows and columns are kept as they are: nulls, repeated rows, texts of any length. An empty table gives a committed version without shards.
     """
     table = ShardedTable(docs.sparkSession, root, target_bytes=target_bytes, fan_in=fan_in)
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     for k in range(arrivals):
         table.append(docs.where(F.pmod(row, F.lit(arrivals)) == k))
-        table.compact()
-    table.compact(everything=True)
-    table.vacuum()
+        table.compact(drop=True)
+    table.compact(everything=True, drop=True)
     return table
 
 

@@ -185,6 +185,7 @@ def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: lis
     several = across.where("n > 1").drop("v", "n").join(side, ["key", "other"]).where(close("peek", "p")).select(F.col("node").alias("u"), "v")
     found = materialise(check(verified(single.union(several), known, lanes, max_bits)), "links")
     remove(across)
+    remove(known)
     release(spark)
     return star_components(edges.union(found))
 
@@ -210,9 +211,14 @@ def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle_words:
         return pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "shingles"])
 
     wanted = _matched(texts, asked, texts["id"].eqNullSafe(asked["least"]), "inner")
-    sets = materialise(by_text(wanted, {"key": "key"}, "text", work, "key long, shingles array<int>"), "shingles").groupBy("key").agg(F.min("shingles").alias("s"))
+    sets = materialise(by_text(wanted, {"key": "key"}, "text", work, "key long, shingles array<int>"), "shingles")
+    written, sets = sets, sets.groupBy("key").agg(F.min("shingles").alias("s"))
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("n", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("n") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("n"))).where("n > 0").select("u", "v")
+    found = materialise(both.where(F.col("n") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("n"))).where("n > 0").select("u", "v"), "similar")
+    for done in (pairs, asked, written):
+        remove(done)
+    release(pairs.sparkSession)
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, lanes: int = 1, max_bits: int = 2, similarity: float | None = None, recall: float = RECALL) -> DataFrame:
