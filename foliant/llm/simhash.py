@@ -7,6 +7,7 @@ what the tables return is checked by the complete distance.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from foliant.llm.batches import by_text, give_back
 from foliant.operators.graph import star_components
 from foliant.shared import materialise, release, remove
 
-SEED, RECALL, BROADCAST_ROWS = 42, 0.98, 1_000_000
+SEED, RECALL, BROADCAST_ROWS, PASS_SEGMENTS = 42, 0.98, 1_000_000, 4
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -162,31 +163,53 @@ def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: lis
 
     First every fingerprint is compared with the least one of each of its buckets, which costs a row a segment and joins dense
     families. Then all lookups are made, but only across the components found: links inside a component change nothing. So
-    a bucket that a third of all rows share costs a row each if they are alike. Rows carry numbers and 64 of the bits, of which
+    a bucket that a third of all rows share costs a row each if they are alike. Either round takes ``PASS_SEGMENTS`` segments at a
+    time, so that what lies on disk at once grows with the rows and not with the number of segments. Rows carry numbers and 64 of the bits, of which
     ``peek_bits`` at most may differ (64: any); fingerprints are joined to the candidates. ``check`` leaves of the pairs (u, v)
     within ``max_bits`` those that are links.
     """
     check = check or (lambda pairs: pairs)
     spark, peek = prints.sparkSession, np.arange(64) * lanes
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= peek_bits
-    table = keys_of(prints.withColumn("comp", F.col("node")), lanes, cuts, None, peek)
-    least = table.groupBy("key").agg(F.min(F.struct("node", "peek")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.node").alias("v"), F.col("m.peek").alias("p"))
-    pairs = table.join(least, "key").where("node <> v").where(close("peek", "p")).select(F.col("node").alias("u"), "v")
-    edges = materialise(check(verified(pairs, prints, lanes, max_bits)), "links")
-    release(spark)
+
+    def each_pass(candidates: Callable[[list[np.ndarray], list[int]], DataFrame]) -> list[DataFrame]:
+        """The candidates (u, v) of all segments, written pass by pass; nothing that a pass shuffled is left for the next one."""
+        out = []
+        for at in np.array_split(np.arange(len(cuts)), -(-len(cuts) // PASS_SEGMENTS)):
+            out.append(candidates([cuts[i] for i in at], [radius[i] for i in at]))
+            release(spark)
+        return out
+
+    def leaders(some: list[np.ndarray], _: list[int]) -> DataFrame:
+        table = keys_of(prints.withColumn("comp", F.col("node")), lanes, some, None, peek)
+        least = table.groupBy("key").agg(F.min(F.struct("node", "peek")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.node").alias("v"), F.col("m.peek").alias("p"))
+        return materialise(table.join(least, "key").where("node <> v").where(close("peek", "p")).select(F.col("node").alias("u"), "v"), "leaders")
+
+    def links(known: DataFrame, parts: list[DataFrame]) -> DataFrame:
+        found = materialise(check(verified(functools.reduce(DataFrame.union, parts), known, lanes, max_bits)), "links")
+        for done in parts:
+            remove(done)
+        release(spark)
+        return found
+
+    edges = links(prints, each_pass(leaders))
     first = star_components(edges).select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
     known = materialise(prints.join(first, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "prints")
-    side = keys_of(known, lanes, cuts, None, peek).select("key", F.col("node").alias("v"), F.col("comp").alias("other"), F.col("peek").alias("p"))
-    met = side.groupBy("key", "other").agg(F.min("v").alias("v"), F.min("p").alias("p"), F.count("*").alias("n"))
-    across = keys_of(known, lanes, cuts, radius, peek).join(met, "key").where("comp <> other").where((F.col("n") > 1) | close("peek", "p"))
-    across = materialise(across.select("key", "node", "peek", "other", "v", "n"), "across")
-    release(spark)
-    single = across.where("n = 1").select(F.col("node").alias("u"), "v")
-    several = across.where("n > 1").drop("v", "n").join(side, ["key", "other"]).where(close("peek", "p")).select(F.col("node").alias("u"), "v")
-    found = materialise(check(verified(single.union(several), known, lanes, max_bits)), "links")
-    remove(across)
+
+    def strangers(some: list[np.ndarray], radii: list[int]) -> DataFrame:
+        side = keys_of(known, lanes, some, None, peek).select("key", F.col("node").alias("v"), F.col("comp").alias("other"), F.col("peek").alias("p"))
+        met = side.groupBy("key", "other").agg(F.min("v").alias("v"), F.min("p").alias("p"), F.count("*").alias("n"))
+        across = keys_of(known, lanes, some, radii, peek).join(met, "key").where("comp <> other").where((F.col("n") > 1) | close("peek", "p"))
+        across = materialise(across.select("key", "node", "peek", "other", "v", "n"), "across")
+        release(spark)
+        single = across.where("n = 1").select(F.col("node").alias("u"), "v")
+        several = across.where("n > 1").drop("v", "n").join(side, ["key", "other"]).where(close("peek", "p")).select(F.col("node").alias("u"), "v")
+        pairs = materialise(single.union(several), "across")
+        remove(across)
+        return pairs
+
+    found = links(known, each_pass(strangers))
     remove(known)
-    release(spark)
     return star_components(edges.union(found))
 
 

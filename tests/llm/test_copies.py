@@ -98,6 +98,32 @@ def test_links_of_dense_families(spark):
         assert len(members) == 1 and members[0] not in got or {got[i] for i in members} == {members[0]}
 
 
+def test_search_in_passes(spark, tmp_path, monkeypatch):
+    """Ten segments are searched a few at a time, with the links of all of them, and no candidates are left behind."""
+    rnd, prints, taken, keys_of = random.Random(9), set(), [], simhash.keys_of
+    for _ in range(12):
+        base = rnd.getrandbits(128)
+        for _ in range(8):
+            x = base
+            for _ in range(rnd.randrange(14)):
+                x ^= 1 << rnd.randrange(128)
+            prints.add(x)
+    prints = sorted(prints | {rnd.getrandbits(128) for _ in range(30)})
+    lanes = np.array([[p & 2**64 - 1, p >> 64] for p in prints], np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame(list(enumerate(lanes)), "node long, fp array<long>")
+    monkeypatch.setattr(simhash, "keys_of", lambda prints, lanes, cuts, *rest: taken.append(len(cuts)) or keys_of(prints, lanes, cuts, *rest))
+    monkeypatch.setattr("foliant.shared.shared_dir", lambda _: f"file://{tmp_path}")
+    # at most 12 bits differ, so of the first eight segments, which share none, one differs in a bit at most
+    got = dict(map(tuple, simhash.linked(table, lanes=2, cuts=simhash.segments(128, 16, 10), radius=[1] * 10, max_bits=12).collect()))
+    assert max(taken) <= 4 and sum(taken) == 3 * 10
+    assert not [x.name for x in tmp_path.iterdir() if x.name.startswith(("leaders", "across"))]
+    group = brute_groups(prints, lambda a, b: (a ^ b).bit_count() <= 12)
+    assert len(set(group)) < len(prints) - 40
+    for g in set(group):
+        members = [i for i, h in enumerate(group) if h == g]
+        assert len(members) == 1 and members[0] not in got or {got[i] for i in members} == {members[0]}
+
+
 def test_one_of_each(spark, docs, none):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
