@@ -19,7 +19,7 @@ from xxhash import xxh64_intdigest
 
 from foliant.llm.batches import by_text, give_back
 from foliant.operators.graph import star_components
-from foliant.shared import materialise, release, remove
+from foliant.shared import materialise, merging, release, remove
 
 SEED, RECALL, BROADCAST_ROWS, PASS_SEGMENTS = 42, 0.98, 1_000_000, 4
 _ODD = 0x9E3779B97F4A7C15
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) ->
     """The pairs (u, v) whose complete fingerprints differ in at most ``max_bits`` bits."""
     left = prints.select(F.col("node").alias("u"), F.col("fp").alias("a"))
     right = prints.select(F.col("node").alias("v"), F.col("fp").alias("b"))
-    return pairs.distinct().join(left, "u").join(right, "v").where(distance("a", "b", lanes) <= max_bits).select("u", "v")
+    return pairs.distinct().join(merging(left), "u").join(merging(right), "v").where(distance("a", "b", lanes) <= max_bits).select("u", "v")
 
 
 def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: list[int], max_bits: int, peek_bits: int = 64, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -183,7 +183,7 @@ def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: lis
     def leaders(some: list[np.ndarray], _: list[int]) -> DataFrame:
         table = keys_of(prints.withColumn("comp", F.col("node")), lanes, some, None, peek)
         least = table.groupBy("key").agg(F.min(F.struct("node", "peek")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.node").alias("v"), F.col("m.peek").alias("p"))
-        return materialise(table.join(least, "key").where("node <> v").where(close("peek", "p")).select(F.col("node").alias("u"), "v"), "leaders")
+        return materialise(table.join(merging(least), "key").where("node <> v").where(close("peek", "p")).select(F.col("node").alias("u"), "v"), "leaders")
 
     def links(known: DataFrame, parts: list[DataFrame]) -> DataFrame:
         found = materialise(check(verified(functools.reduce(DataFrame.union, parts), known, lanes, max_bits)), "links")
@@ -194,16 +194,16 @@ def linked(prints: DataFrame, *, lanes: int, cuts: list[np.ndarray], radius: lis
 
     edges = links(prints, each_pass(leaders))
     first = star_components(edges).select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
-    known = materialise(prints.join(first, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "prints")
+    known = materialise(prints.join(merging(first), "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "prints")
 
     def strangers(some: list[np.ndarray], radii: list[int]) -> DataFrame:
         side = keys_of(known, lanes, some, None, peek).select("key", F.col("node").alias("v"), F.col("comp").alias("other"), F.col("peek").alias("p"))
         met = side.groupBy("key", "other").agg(F.min("v").alias("v"), F.min("p").alias("p"), F.count("*").alias("n"))
-        across = keys_of(known, lanes, some, radii, peek).join(met, "key").where("comp <> other").where((F.col("n") > 1) | close("peek", "p"))
+        across = keys_of(known, lanes, some, radii, peek).join(merging(met), "key").where("comp <> other").where((F.col("n") > 1) | close("peek", "p"))
         across = materialise(across.select("key", "node", "peek", "other", "v", "n"), "across")
         release(spark)
         single = across.where("n = 1").select(F.col("node").alias("u"), "v")
-        several = across.where("n > 1").drop("v", "n").join(side, ["key", "other"]).where(close("peek", "p")).select(F.col("node").alias("u"), "v")
+        several = across.where("n > 1").drop("v", "n").join(merging(side), ["key", "other"]).where(close("peek", "p")).select(F.col("node").alias("u"), "v")
         pairs = materialise(single.union(several), "across")
         remove(across)
         return pairs
@@ -225,7 +225,7 @@ def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle_words:
     are compared by 32 bits of their hashes.
     """
     pairs = materialise(pairs, "candidates")
-    asked = materialise(names.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key"), "asked")
+    asked = materialise(names.join(merging(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()), "key"), "asked")
 
     def work(part: pa.RecordBatch, each: list[str]) -> pa.RecordBatch:
         sets = [np.unique(np.array(shingle_hashes(t, shingle_words), np.uint64).astype(np.uint32)) for t in each]
@@ -236,7 +236,7 @@ def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle_words:
     wanted = _matched(texts, asked, texts["id"].eqNullSafe(asked["least"]), "inner")
     sets = materialise(by_text(wanted, {"key": "key"}, "text", work, "key long, shingles array<int>"), "shingles")
     written, sets = sets, sets.groupBy("key").agg(F.min("shingles").alias("s"))
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("n", F.size(F.array_intersect("a", "b")))
+    both = pairs.join(merging(sets.toDF("u", "a")), "u").join(merging(sets.toDF("v", "b")), "v").withColumn("n", F.size(F.array_intersect("a", "b")))
     found = materialise(both.where(F.col("n") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("n"))).where("n > 0").select("u", "v"), "similar")
     for done in (pairs, asked, written):
         remove(done)
@@ -270,12 +270,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         names = nodes.select(F.col("node").alias("key"), "least")
         check = lambda pairs: similar(pairs, texts, names, shingle_words, similarity)
         groups = linked(nodes.select("node", "fp"), lanes=lanes, cuts=segments(64 * lanes, width, count), radius=[1] * count, max_bits=most(64 * lanes), peek_bits=most(64), check=check)
-    named = nodes.join(groups.withColumnRenamed("vertex", "node"), "node", "left").select("fp", "least", "copies", F.coalesce("component", "node").alias("comp"))
+    named = nodes.join(merging(groups.withColumnRenamed("vertex", "node")), "node", "left").select("fp", "least", "copies", F.coalesce("component", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = materialise(named.select("fp", "copies", "comp").join(least, "comp").drop("comp"), "named")
+    named = materialise(named.select("fp", "copies", "comp").join(merging(least), "comp").drop("comp"), "named")
     # fingerprints that a thousandth of all rows share are a thousand at most, whatever the table
     hot = named.where(F.col("copies") * 1000 > prints.count()).drop("copies")
-    rare = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.drop("copies"), "fp")
+    rare = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(merging(named.drop("copies")), "fp")
     return rare.union(prints.join(F.broadcast(hot), "fp"))
 
 

@@ -6,28 +6,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.shared import materialise, remove
+from foliant.shared import materialise, merging, remove
+
+#: With more edges than this no side of a join is broadcast.
+BROADCAST_EDGES = 100_000
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(sided: DataFrame, keep: str) -> DataFrame:
+def _star(sided: DataFrame, keep: str, many: bool) -> DataFrame:
     """Link what ``keep`` admits around each u to the least vertex around u. The minimum is combined before the shuffle."""
     low = sided.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    near = sided.join(low, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = sided.join(merging(low) if many else low, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near, low
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    near, _ = _star(_both(edges), "v > u")
+def large_star(edges: DataFrame, many: bool = False) -> DataFrame:
+    near, _ = _star(_both(edges), "v > u", many)
     return near.where("u <> v").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, many: bool = False) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    near, low = _star(down, "v <> m")
+    near, low = _star(down, "v <> m", many)
     return near.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -39,9 +42,9 @@ def star_components(edges: DataFrame) -> DataFrame:
     The number of rounds is logarithmic; each round is materialised in the shared folder, so lost executors cost one round.
     """
     now = materialise(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    mark, many = None, now.count() > BROADCAST_EDGES
     while True:
-        once = materialise(small_star(large_star(now)), "stars")
+        once = materialise(small_star(large_star(now, many), many), "stars")
         seen = once.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         remove(now)
         now = once

@@ -60,6 +60,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """``df``, which grows with the input, for a join: by merge, so that it is never broadcast and takes no memory of the driver.
+
+    Left alone, Spark goes by the size of Parquet files, which may be a tenth of what their rows take in a hash table.
+    """
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM collect its garbage, so that Spark deletes the shuffle files of jobs whose results are written."""
     spark._jvm.System.gc()

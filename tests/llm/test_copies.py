@@ -98,6 +98,26 @@ def test_links_of_dense_families(spark):
         assert len(members) == 1 and members[0] not in got or {got[i] for i in members} == {members[0]}
 
 
+def test_growing_tables_are_not_broadcast(spark, docs, monkeypatch):
+    """The driver builds no hash table of rows that grow with the input, whatever Spark makes of the size of their files."""
+    from foliant.operators import graph
+
+    plans, write = [], graph.materialise
+
+    def planned(df, tag="result"):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    monkeypatch.setattr(graph, "materialise", planned)
+    monkeypatch.setattr(simhash, "materialise", planned)
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 0, raising=False)
+    planned(simhash.near_duplicates(docs.where("doc_id is not null")))
+    found = [tag for tag, plan in plans if "BroadcastHashJoin" in plan]
+    # the two joins with the fingerprints that a thousandth of all rows share
+    assert found == ["result"] and plans[-1][1].count("BroadcastHashJoin") == 2
+    assert {"links", "stars", "prints", "named"} <= {tag for tag, _ in plans}
+
+
 def test_search_in_passes(spark, tmp_path, monkeypatch):
     """Ten segments are searched a few at a time, with the links of all of them, and no candidates are left behind."""
     rnd, prints, taken, keys_of = random.Random(9), set(), [], simhash.keys_of
