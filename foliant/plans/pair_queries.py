@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.operators import captions, intervals, lines, rects
+from foliant.operators import captions, intervals, lines, rects, text_pages
 from foliant.plans import pages
 from foliant.plans.registry import query, table
-from foliant.plans.linear_queries import BOX, FRAMED, HIST, PICS, WORDS, B, D, T, bench, docs, framed, lined, pictured
+from foliant.plans.linear_queries import BOX, FRAMED, HIST, PICS, WORDS, B, D, T, bench, doc_pages, framed, lined, pictured
 from foliant.sources import glyphs as src
 
 #: The components of edges e (k, a, b), given both ways, over vertices v (k, id).
@@ -44,9 +44,7 @@ def _(spark, d):
 
 @query("j4_line_stab", "page_id:l glyph_id:l low:l high:l", f"WITH {D}, r AS (SELECT page_id, line_no, min(y) AS low, max(y + height) AS high FROM g GROUP BY ALL) SELECT g.page_id, glyph_id, low, high FROM g JOIN r ON r.page_id = g.page_id AND r.line_no = g.line_no")
 def _(spark, d):
-    g = docs(spark, d)
-    limits = g.groupBy("page_id", "line_no").agg(F.min("y").alias("low"), F.max(F.col("y") + F.col("height")).alias("high"))
-    return intervals.stab(g.select("page_id", "glyph_id", "y"), limits, ["page_id"], "y")
+    return doc_pages(spark, d, text_pages.stab_rows, "glyph_id int, low int, high int")
 
 
 @query("j5_group_glyphs", "page_id:l line_id:l glyph_id:l x:l y:l width:l height:l", f"""WITH RECURSIVE {T}, gl AS (SELECT page_id * 100000 + line_no AS k, glyph_id, x, y, width, height FROM g), rg AS (SELECT k, glyph_id AS id, x AS low, x + width AS high FROM gl), {JOIN10}
