@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,35 +79,76 @@ def knn(rects: DataFrame, k: int = 100, id_col: str = "glyph_id") -> DataFrame:
     return ranked.select("page_id", F.col(f"a_{id_col}").alias("id"), "rank", F.col(f"b_{id_col}").alias("nb_id"))
 
 
-def vector_knn(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = 2048) -> DataFrame:
+def nearest_rows(v: np.ndarray, w: np.ndarray, k: int, cells: int = 1 << 22, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of v, row of w, squared distance): the k rows of w nearest to each row of v, the first on ties; exact.
+
+    A product of matrices bounds all distances to within ``slack``, far over its rounding errors; the distances of what may be among
+    the k nearest by these bounds are then summed in double, one dimension after the other. Rows that aren't finite have no bounds.
+    """
+    n, dims = w.shape
+    k = min(k, n)
+    finite = bool(np.isfinite(v).all() and np.isfinite(w).all() and max(np.abs(v).max(initial=0), np.abs(w).max(initial=0)) < 1e150)
+    centre = w.mean(0) if finite else 0
+    a, b = v - centre, w - centre
+    bb = (b * b).sum(1)
+    slack = (8 * (dims + 16) * np.finfo(float).eps) * ((a * a).sum(1) + bb.max())
+    step, groups = max(1, cells // n), min(32, n // (4 * k)) or 1
+    for i in range(0, len(v), step):
+        if finite:
+            d = (-2 * a[i : i + step]) @ b.T + bb
+            part = n // groups
+            least = d if groups == 1 else d[:, : part * groups].reshape(len(d), groups, part).min(1)
+            bound = np.partition(least, k - 1, axis=1)[:, k - 1] + 2 * slack[i : i + step]
+            row, col = np.nonzero(d <= bound[:, None])
+        else:
+            row, col = np.indices((len(v[i : i + step]), n)).reshape(2, -1)
+        ends = np.searchsorted(row, np.arange(len(v[i : i + step]) + 1))
+        j = 0
+        while j < len(ends) - 1:
+            t = max(j + 1, int(np.searchsorted(ends, ends[j] + most, "right")) - 1)
+            r, c = row[ends[j] : ends[t]], col[ends[j] : ends[t]]
+            exact = np.zeros(len(r))
+            for x, y in zip(v[i + r].T, w[c].T):
+                exact += (x - y) ** 2
+            order = np.lexsort((c, exact, r))
+            near = order[np.arange(len(r)) - (ends[j:t] - ends[j])[r[order] - j] < k]
+            yield i + r[near], c[near], exact[near]
+            j = t
+
+
+def vector_knn(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", rows: int | None = None) -> DataFrame:
     """(id, rank, nb_id): the k nearest rows of each row by squared distance in double, then id; itself included.
 
-    Blocks of ``rows`` rows meet pairwise, each pair of blocks in a task of its own, which keeps k a row before the final choice.
+    Blocks of ``rows`` rows meet pairwise, each pair of blocks once and in a task of its own, which keeps k a row before the final
+    choice. All pairs of rows are met, so time is the square of the table; what is shuffled is the table times the number of blocks.
+    Unless given, ``rows`` makes eight blocks, of 2,048 to 32,768 rows.
     """
-    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    sized = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    n = max(1, -(-sized.count() // rows))
+    sized = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+    total = sized.count()
+    rows = rows or min(32768, max(2048, -(-total // 8)))
+    n = max(1, -(-total // rows))
     blocks = sized.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    sides = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = blocks.withColumn("p", F.col("b")).withColumn("q", sides).withColumn("s", F.lit(0))
-    right = blocks.withColumn("q", F.col("b")).withColumn("p", sides).withColumn("s", F.lit(1))
+    met = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
 
     def near(table: pa.Table) -> pa.Table:
-        side = table.column("s").to_numpy()
-        ids, v = table.column("id").to_numpy(), np.array(table.column("v").to_pylist(), float)
+        block, ids = table.column("b").to_numpy(), table.column("id").to_numpy()
+        lists = table.column("v").combine_chunks()
+        dims = set(pc.list_value_length(lists).to_pylist())
+        if len(dims) != 1:
+            raise ValueError(f"vectors of different lengths: {sorted(dims)}")
+        v = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), dims.pop())
+        order = np.argsort(ids, kind="stable")
+        sides = [order[block[order] == x] for x in np.unique(block)]
         out = []
-        order = np.argsort(ids[side == 1], kind="stable")
-        other, w = ids[side == 1][order], v[side == 1][order]
-        for i, x in zip(ids[side == 0], v[side == 0]):
-            d = ((w - x) ** 2).sum(1) if len(w) else np.zeros(0)
-            best = np.argsort(d, kind="stable")[:k]
-            out.append((np.full(len(best), i), other[best], d[best]))
+        for mine, other in ((sides[0], sides[0]),) if table.column("p")[0] == table.column("q")[0] else zip(sides, sides[::-1]) if len(sides) == 2 else ():
+            out += [(ids[mine[r]], ids[other[c]], d) for r, c, d in nearest_rows(v[mine], v[other], k)]
         columns = [np.concatenate([*c, np.zeros(0, t)]).astype(t) for c, t in zip(zip(*out) if out else ((), (), ()), (np.int64, np.int64, float))]
         return pa.table(dict(zip(("id", "nb_id", "d"), columns)))
 
-    some = left.union(right).groupBy("p", "q").applyInArrow(near, "id long, nb_id long, d double")
+    some = met.groupBy("p", "q").applyInArrow(near, "id long, nb_id long, d double")
     order = Window.partitionBy("id").orderBy("d", "nb_id")
     return some.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("id", "rank", "nb_id")
 
